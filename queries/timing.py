@@ -186,7 +186,7 @@ SELECT backend, round(quantile_cont(wall_time_s, 0.25), 8) AS wall_time_s_p0, ro
 def a01_ranked(spark, sf_dir):
     from trialflow.functions.scaled import select_by_rank
     return rounded(select_by_rank(
-        eligible_runs(spark, sf_dir), ["backend"], "wall_time_s", (0.25, 0.5, 0.9), null_keys=False))
+        eligible_runs(spark, sf_dir), ["backend"], ["wall_time_s"], (0.25, 0.5, 0.9), null_keys=False))
 
 
 ORACLE_SQL = GROUPS + """, oracle AS (SELECT g.*, min(wall_time_s_median) OVER (PARTITION BY family_id, problem_instance, input_sha256)

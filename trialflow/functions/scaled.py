@@ -32,8 +32,8 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
     """Keys owning more than ``hot_rows`` rows: at most ``rows / hot_rows`` of them."""
     return (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > hot_rows)
         .select(*keys)
     )
 
@@ -69,14 +69,20 @@ def keyed_join(
     return joined.drop(*[f"_k_{k}" for k in keys])
 
 
-def _percentiles(df: DataFrame, keys: Sequence[str], values: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    aggregates = [
-        F.percentile(F.col(v), F.array(*[F.lit(float(p)) for p in probs])).alias(f"_p_{v}")
-        for v in values
-    ]
-    grouped = df.groupBy(*keys).agg(*aggregates)
+def _percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    probs: Sequence[float],
+    extra: Sequence[Column],
+    names: Sequence[str],
+) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    grouped = df.groupBy(*keys).agg(
+        *extra, *[F.percentile(F.col(v), wanted).alias(f"_p_{v}") for v in values]
+    )
     return grouped.select(
-        *keys,
+        *keys, *names,
         *[F.col(f"_p_{v}")[i].alias(f"{v}_p{i}") for v in values for i in range(len(probs))],
     )
 
@@ -84,27 +90,31 @@ def _percentiles(df: DataFrame, keys: Sequence[str], values: Sequence[str], prob
 def select_by_rank(
     df: DataFrame,
     keys: Sequence[str],
-    value: str,
+    values: Sequence[str],
     probs: Sequence[float],
     steps: int = 4096,
     null_keys: bool = True,
 ) -> DataFrame:
-    """Exact linear percentiles of one column without a single-task group.
+    """Exact linear percentiles without a single-task group.
 
-    Pass 1 counts rows per ``(keys, bucket)`` (combined map-side) and finds the
+    Pass 1 counts rows per ``(keys, column, bucket)`` (combined map-side) and finds the
     buckets that hold the wanted ranks; pass 2 keeps only rows of those buckets,
-    collapses equal values and picks the order statistics.
+    collapses equal values and picks the order statistics. All columns share the passes.
     """
-    keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(
-        *keys,
-        F.col(value).cast("double").alias("_v"),
-        value_bucket(F.col(value).cast("double"), steps).alias("_b"),
+    keys, values = list(keys), list(values)
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("m"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values)
+    ])
+    rows = (
+        df.select(*keys, F.explode(entries).alias("_e")).where(F.col("_e.v").isNotNull())
+        .select(*keys, F.col("_e.m").alias("_m"), F.col("_e.v").alias("_v"),
+                value_bucket(F.col("_e.v"), steps).alias("_b"))
     )
-    histogram = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    by_key = Window.partitionBy(*keys)
+    by = [*keys, "_m"]
+    histogram = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    by_key = Window.partitionBy(*by)
     placed = histogram.select(
-        *keys, "_b", "_n",
+        *by, "_b", "_n",
         (F.sum("_n").over(by_key.orderBy("_b")) - F.col("_n")).alias("_before"),
         F.sum("_n").over(by_key).alias("_total"),
     )
@@ -117,22 +127,23 @@ def select_by_rank(
         .withColumn("_r", F.explode(F.array_distinct(F.array(
             F.floor("_w.pos").cast("bigint"), F.ceil("_w.pos").cast("bigint")))))
         .where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_n")))
-        .select(*keys, "_b", F.col("_w.i").alias("_i"), F.col("_w.pos").alias("_pos"), "_r",
+        .select(*by, "_b", F.col("_w.i").alias("_i"), F.col("_w.pos").alias("_pos"), "_r",
                 (F.col("_r") - F.col("_before")).alias("_inside"))
     )
-    kept = keyed_join(rows, targets.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi", null_keys)
-    distinct = kept.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
-    ladder = distinct.select(*keys, "_b", "_v", (upto - F.col("_c")).alias("_from"), upto.alias("_to"))
-    picked = keyed_join(targets, ladder, [*keys, "_b"], "inner", null_keys).where(
+    cell = [*by, "_b"]
+    kept = keyed_join(rows, targets.select(*cell).distinct(), cell, "left_semi", null_keys)
+    distinct = kept.groupBy(*cell, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*cell).orderBy("_v"))
+    ladder = distinct.select(*cell, "_v", (upto - F.col("_c")).alias("_from"), upto.alias("_to"))
+    picked = keyed_join(targets, ladder, cell, "inner", null_keys).where(
         (F.col("_inside") >= F.col("_from")) & (F.col("_inside") < F.col("_to"))
     )
-    per_prob = picked.groupBy(*keys, "_i").agg(
-        F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"),
-        F.max("_pos").alias("_pos"),
+    per_prob = picked.groupBy(*by, "_i").agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_pos").alias("_pos"),
     ).withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos")))
     return per_prob.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{value}_p{i}") for i in range(len(probs))
+        F.max(F.when((F.col("_m") == m) & (F.col("_i") == i), F.col("_q"))).alias(f"{v}_p{i}")
+        for m, v in enumerate(values) for i in range(len(probs))
     ])
 
 
@@ -143,28 +154,28 @@ def grouped_quantiles(
     probs: Sequence[float],
     hot_rows: int | None = HOT_ROWS,
     null_keys: bool = True,
+    extra: Sequence[Column] = (),
+    names: Sequence[str] = (),
 ) -> DataFrame:
     """Exact linear percentiles per group: columns ``<value>_p<i>``.
 
+    ``extra`` are further aggregates (with their output ``names``) of the same groups.
     Groups up to ``hot_rows`` use ``percentile``; larger ones use
     :func:`select_by_rank`. The list of large groups is bounded by
     ``rows / hot_rows`` and broadcast; when it is empty, adaptive execution drops
     that branch. ``hot_rows=None`` states that a contract bounds every group.
     """
     keys, values = list(keys), list(values)
-    rows = df.select(*keys, *values)
     if hot_rows is None:
-        return _percentiles(rows, keys, values, probs)
-    hot = F.broadcast(hot_groups(rows, keys, hot_rows))
+        return _percentiles(df, keys, values, probs, extra, names)
+    hot = F.broadcast(hot_groups(df, keys, hot_rows))
     small = _percentiles(
-        keyed_join(rows, hot, keys, "left_anti", null_keys), keys, values, probs
+        keyed_join(df, hot, keys, "left_anti", null_keys), keys, values, probs, extra, names
     )
-    large_rows = keyed_join(rows, hot, keys, "left_semi", null_keys)
-    large = hot
-    for value in values:
-        part = select_by_rank(large_rows, keys, value, probs, null_keys=null_keys)
-        large = keyed_join(large, part, keys, "left", null_keys)
-    return small.unionByName(large)
+    large_rows = keyed_join(df, hot, keys, "left_semi", null_keys)
+    large = large_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *extra).drop("_rows")
+    ranked = select_by_rank(large_rows, keys, values, probs, null_keys=null_keys)
+    return small.unionByName(keyed_join(large, ranked, keys, "left", null_keys))
 
 
 def summary(
@@ -172,42 +183,27 @@ def summary(
     keys: Sequence[str],
     values: Sequence[str],
     extra: Sequence[Column] = (),
+    names: Sequence[str] = (),
     hot_rows: int | None = HOT_ROWS,
     null_keys: bool = True,
 ) -> DataFrame:
     """Count, minimum, q1, median, q3, IQR, maximum per group and value column."""
     keys, values = list(keys), list(values)
-    if hot_rows is None:
-        percentiles = [
-            F.percentile(F.col(v), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_p_{v}")
-            for v in values
-        ]
-        joined = df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.min(v).alias(f"{v}_min") for v in values],
-            *[F.max(v).alias(f"{v}_max") for v in values], *extra, *percentiles,
-        )
-        parts = {v: [F.col(f"_p_{v}")[i] for i in range(3)] for v in values}
-    else:
-        basic = df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.min(v).alias(f"{v}_min") for v in values],
-            *[F.max(v).alias(f"{v}_max") for v in values], *extra,
-        )
-        quantiles = grouped_quantiles(df, keys, values, (0.25, 0.5, 0.75), hot_rows, null_keys)
-        joined = keyed_join(basic, quantiles, keys, "inner", null_keys)
-        parts = {v: [F.col(f"{v}_p{i}") for i in range(3)] for v in values}
-    skip = {f"_p_{v}" for v in values} | {f"{v}_p{i}" for v in values for i in range(3)}
-    bounds = {f"{v}_{e}" for v in values for e in ("min", "max")}
-    rest = [c for c in joined.columns if c not in skip and c not in bounds and c not in keys and c != "n"]
+    basics = [F.count(F.lit(1)).alias("n")]
+    for v in values:
+        basics += [F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")]
+    labels = ["n", *[f"{v}_{e}" for v in values for e in ("min", "max")], *names]
+    out = grouped_quantiles(
+        df, keys, values, (0.25, 0.5, 0.75), hot_rows, null_keys, [*basics, *extra], labels
+    )
     columns: list = [*keys, "n"]
     for v in values:
-        q1, q2, q3 = parts[v]
+        q1, q2, q3 = (F.col(f"{v}_p{i}") for i in range(3))
         columns += [
             F.col(f"{v}_min"), q1.alias(f"{v}_q1"), q2.alias(f"{v}_median"),
             q3.alias(f"{v}_q3"), (q3 - q1).alias(f"{v}_iqr"), F.col(f"{v}_max"),
         ]
-    return joined.select(*columns, *rest)
+    return out.select(*columns, *names)
 
 
 _COMBINE = {

@@ -300,7 +300,8 @@ def headroom(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
         (F.min("guard_mib") == F.max("guard_mib")).alias("guard_constant"),
         F.min("cap_mib").alias("minimum_cap_mib"),
     )
-    return summary(rows, keys, ("peak_gpu_memory_mb",), extra, hot_rows)
+    names = ("guard_mib", "guard_constant", "minimum_cap_mib")
+    return summary(rows, keys, ("peak_gpu_memory_mb",), extra, names, hot_rows)
 
 
 def rank_candidates(
