@@ -78,3 +78,19 @@ def misses(predictions: DataFrame, learned: Sequence[str]) -> DataFrame:
 def ablation(summary_: DataFrame, learned: Sequence[str]) -> DataFrame:
     """The learned policies of a policy summary."""
     return summary_.where(F.col("policy").isin(*learned))
+
+
+def prediction_export(predictions: DataFrame) -> DataFrame:
+    """Prediction rows as flat text-ready columns; absent selections become empty."""
+    return predictions.select(
+        F.concat_ws("::", "family_id", "problem_instance").alias("instance_id"), "policy",
+        F.coalesce("selected_candidate_name", F.lit("")).alias("selected"),
+        "selected_wall_time_s", "oracle_wall_time_s", "normalized_runtime", "normalized_regret",
+        "selection_correct", "within_5pct_oracle", "valid", "failure", "invalid_reason",
+    )
+
+
+def policy_summary(metrics: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Policy summary in registered policy order, pooled scope first."""
+    rank = F.array_position(F.array(*[F.lit(p) for p in order]), F.col("policy"))
+    return metrics.orderBy(F.desc("scope"), "family_id", rank)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialflow.functions.scaled import HOT_ROWS, grouped_quantiles
 from trialflow.operators.timing import rank_candidates
+from trialflow.session import materialized
 
 FACTORS = {"backend": ("cpu", "gpu"), "bit_length": (20, 48), "shuffle": (False, True)}
 
@@ -120,11 +121,13 @@ def long_form(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def screen(measurements: DataFrame, factors: dict[str, tuple] = FACTORS) -> dict[str, DataFrame]:
-    """Every table of a screen from one measured row per (workload, candidate)."""
-    ranked = rank_candidates(
-        measurements, ("wall_time_s", "solver_time_s"), ("family_id", "problem_instance")
-    )
-    effects = paired_effects(measurements, factors)
+    """Every table of a screen from one measured row per (workload, candidate).
+
+    The measurements are written once; ranks and effects are read by several tables.
+    """
+    kept = materialized(measurements)
+    ranked = rank_candidates(kept, ("wall_time_s", "solver_time_s"), ("family_id", "problem_instance"))
+    effects = paired_effects(kept, factors)
     return {
         "measurement": ranked,
         "paired_effect": effects,

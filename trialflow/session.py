@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,19 +32,28 @@ def local_session(cpus: int | str = 8, **extra: str) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where ``spark.checkpoint.dir`` is unset and the master is local does this
-    name a folder of its own.
+    Only a local master without that setting gets a folder of its own under /tmp.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once to the shared folder and read it back.
+
+    For results that several later steps read: the lineage is cut, lost executors cost
+    nothing, and the columnar copy prunes columns and knows its size.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
