@@ -20,6 +20,13 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("trial_id"), *rows.columns)
 
 
+def parse_samples(lines: DataFrame) -> DataFrame:
+    """``trial_id, line`` with raw CSV text to typed sample columns."""
+    return lines.select("trial_id", F.from_csv("line", SAMPLES.simpleString()[7:-1].replace(":", " ")).alias("s")).select(
+        "trial_id", "s.*"
+    )
+
+
 def trial_peaks(samples: DataFrame) -> DataFrame:
     """Peaks, completeness flags and sample counts; combined map-side."""
     return samples.groupBy("trial_id").agg(
