@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,8 +78,6 @@ def canonical_id_udf():
     Number texts follow the writer of those records (``1e-08``), which Spark's
     ``to_json`` (``1.0E-8``) cannot reproduce; new identities use :func:`trial_id`.
     """
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def canonical_id(documents: pd.Series) -> pd.Series:
         import hashlib
