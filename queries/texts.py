@@ -111,7 +111,7 @@ def f16(spark, sf_dir):
     observed = X.bitstring_stats(raw_strings(spark, sf_dir))
     manifest = observed.select(
         "file", F.when(F.col("file") == "list-3", F.col("count")).otherwise(F.lit(-1)).cast("bigint").alias("count"), "bit_length",
-    ).unionByName(observed.limit(1).select(F.lit("list-none").alias("file"), "count", "bit_length"))
+    ).unionByName(spark.range(1).select(F.lit("list-none").alias("file"), F.lit(4).cast("bigint").alias("count"), F.lit(16).cast("bigint").alias("bit_length")))
     return X.inventory_rules(observed, manifest)
 
 

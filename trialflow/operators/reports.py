@@ -94,3 +94,43 @@ def policy_summary(metrics: DataFrame, order: Sequence[str]) -> DataFrame:
     """Policy summary in registered policy order, pooled scope first."""
     rank = F.array_position(F.array(*[F.lit(p) for p in order]), F.col("policy"))
     return metrics.orderBy(F.desc("scope"), "family_id", rank)
+
+
+def attest(
+    plan: DataFrame, rows: DataFrame, keys: Sequence[str], views: dict, rules: list,
+    dimensions: Sequence[str], inventory: Sequence[str], rate_per_hour: float,
+    host: str = "hostname", start: str = "started", finish: str = "finished",
+) -> dict[str, DataFrame]:
+    """The tables of a completion attestation; the campaign is complete when
+    ``completeness``, ``violations`` and ``overlaps`` are empty."""
+    from trialflow.functions.derive import cost
+    from trialflow.operators import audit
+    from trialflow.operators.rules import check
+    from trialflow.operators.timing import named_views
+    from trialflow.plans.grid import completeness
+
+    membership = named_views(rows, views)
+    temporal = audit.temporal_summary(rows, [host], start, finish)
+    return {
+        "completeness": completeness(plan, rows, keys),
+        "violations": check(rows, rules, ["trial_id"]),
+        "overlaps": audit.overlaps(rows, [host], "trial_id", start, finish),
+        "counts": audit.counts(rows, dimensions),
+        "views": membership,
+        "view_sizes": membership.groupBy("view").agg(F.count(F.lit(1)).alias("records")),
+        "temporal": temporal,
+        "cost": temporal.agg(F.sum("span_s").alias("span_s")).withColumn(
+            "cost", cost(F.col("span_s"), rate_per_hour)),
+        "evidence": audit.chain_hash(rows, inventory),
+        "trace": audit.view_membership(rows.select("trial_id", *dimensions), membership),
+    }
+
+
+def attestation_findings(tables: dict[str, DataFrame]) -> DataFrame:
+    """Number of findings per gate table; all zero means complete."""
+    out = None
+    for name in ("completeness", "violations", "overlaps"):
+        counted = tables[name].agg(F.count(F.lit(1)).alias("findings")).select(
+            F.lit(name).alias("gate"), "findings")
+        out = counted if out is None else out.unionByName(counted)
+    return out
