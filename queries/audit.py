@@ -219,8 +219,10 @@ PAIR_SQL = """, firsts AS (SELECT * FROM accepted WHERE repetition = 0), sides A
 
 def accepted(spark, sf_dir):
     """First eligible attempt of every (instance, candidate, repetition)."""
-    df = eligible_runs(spark, sf_dir)
     keys = ["problem_instance", "candidate_name", "repetition"]
+    df = eligible_runs(spark, sf_dir).select(
+        *keys, "trial_id", "timestamp_utc", "family_id", "backend", "input_sha256", "n_configurations", "estimated_work",
+        "wall_time_s", "solver_time_s", "energy", "samples")
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("timestamp_utc", "trial_id")).alias("r"))
     return picked.select(*keys, "r.*")

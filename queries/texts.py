@@ -6,6 +6,7 @@ from queries.base import duck, load, register
 from queries.timing import rounded
 from trialflow.operators import features as X
 from trialflow.operators import logs
+from trialflow.session import materialized
 from trialflow.sources import samples, texts
 
 BITS = 16
@@ -68,7 +69,7 @@ EDGES = STRINGS_CTE + """, edges AS (SELECT l.file, l.pos AS a, r.pos AS b, CAST
 
 @register("j08_hamming_join", duck("SELECT file, a, b, dist FROM edges WHERE dist <= 4", EDGES))
 def j08(spark, sf_dir):
-    return X.hamming_neighbours(strings(spark, sf_dir), BITS)
+    return X.hamming_neighbours(materialized(strings(spark, sf_dir)), BITS)
 
 
 @register("a14_degree_statistics", duck("""
@@ -77,14 +78,14 @@ SELECT file, CAST(count(*) AS BIGINT) AS determinants, CAST(count(*) * (count(*)
  round(avg(d), 8) AS double_degree_mean, round(sum(s) / (count(*) * (count(*) - 1) * 1e0), 8) AS single_edge_density, round(sum(d) / (count(*) * (count(*) - 1) * 1e0), 8) AS double_edge_density
 FROM (SELECT n.file, n.pos, count(*) FILTER (dist = 2) AS s, count(*) FILTER (dist = 4) AS d FROM strings n LEFT JOIN edges e ON e.file = n.file AND e.a = n.pos GROUP BY ALL) GROUP BY file""", EDGES))
 def a14(spark, sf_dir):
-    nodes = strings(spark, sf_dir)
+    nodes = materialized(strings(spark, sf_dir))
     return rounded(X.degree_stats(nodes, X.hamming_neighbours(nodes, BITS)))
 
 
 @register("f17_canonical_order", duck("""
 SELECT file, CAST(count(*) AS BIGINT) AS inversions FROM (SELECT file, bits, lag(bits) OVER (PARTITION BY file ORDER BY pos) AS before FROM strings) WHERE before > bits GROUP BY 1""", STRINGS_CTE))
 def f17(spark, sf_dir):
-    return X.unsorted_files(strings(spark, sf_dir))
+    return X.unsorted_files(materialized(strings(spark, sf_dir)))
 
 
 SIZES = (8, 16, 32)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from queries.base import DUCK_ACCEPTED, DUCK_RUNS, ELIGIBLE, duck, eligible_runs, load, register, runs
 from trialflow.functions.stats import mib
 from trialflow.operators import timing as T
+from trialflow.session import materialized
 
 ROWS = DUCK_RUNS + """, rows_ AS (SELECT *, TRUE AS has_monitoring, problem_instance <> 'inst-13' AS has_features,
   phase = 'measured' AND scientific_success AND coalesce(correct, FALSE) AND purpose <> 'correctness' AS timing_eligible FROM runs)"""
@@ -358,5 +359,5 @@ def w03(spark, sf_dir):
     keys = ("family_id", "problem_instance", "input_sha256", "n_configurations")
     groups = T.timing_groups(df, (*keys, "candidate_name"))
     best = T.best_per_workload(groups, "wall_time_s_median", keys).where("is_best")
-    winners = best.groupBy(*keys).agg(F.min("candidate_name").alias("winner"))
+    winners = materialized(best.groupBy(*keys).agg(F.min("candidate_name").alias("winner")))
     return T.winner_flips(winners, ("family_id",), "n_configurations", "problem_instance", "winner")

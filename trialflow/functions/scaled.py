@@ -220,33 +220,37 @@ def running(
     order: Sequence[str],
     bucket: Sequence[Column],
     fn: str,
-    value: Column,
-    name: str,
+    values: dict[str, Column],
     inclusive: bool = True,
     null_keys: bool = True,
 ) -> DataFrame:
     """Running sum/max/min along ``order`` per ``keys``, bucket by bucket.
 
-    Exclusive sums start at 0, exclusive max/min at NULL.
+    ``values`` maps output names to inputs. Exclusive sums start at 0, exclusive
+    maxima and minima at NULL.
     """
-    keys = list(keys)
+    keys, fold, combine = list(keys), _FOLD[fn], _COMBINE[fn]
     buckets = [f"_b{i}" for i in range(len(bucket))]
-    staged = df
-    for label, expression in zip(buckets, bucket):
-        staged = staged.withColumn(label, expression)
-    staged = staged.withColumn("_x", value)
-    totals = staged.groupBy(*keys, *buckets).agg(_FOLD[fn]("_x").alias("_t"))
+    inputs = {name: f"_x{i}" for i, name in enumerate(values)}
+    staged = df.select(
+        "*", *[e.alias(b) for b, e in zip(buckets, bucket)],
+        *[v.alias(inputs[n]) for n, v in values.items()],
+    )
+    totals = staged.groupBy(*keys, *buckets).agg(*[fold(x).alias(x) for x in inputs.values()])
     before = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *buckets, _FOLD[fn]("_t").over(before).alias("_off"))
+    offsets = totals.select(
+        *keys, *buckets, *[fold(x).over(before).alias(f"_off{x}") for x in inputs.values()]
+    )
     upper = Window.currentRow if inclusive else -1
     inside = (
         Window.partitionBy(*keys, *buckets).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, upper)
     )
-    local = staged.withColumn("_in", _FOLD[fn]("_x").over(inside))
+    local = staged.select("*", *[fold(x).over(inside).alias(f"_in{x}") for x in inputs.values()])
     joined = keyed_join(local, offsets, [*keys, *buckets], "inner", null_keys)
-    return joined.withColumn(name, _COMBINE[fn](F.col("_in"), F.col("_off"))).drop(
-        *buckets, "_x", "_in", "_off"
+    return joined.select(
+        *df.columns,
+        *[combine(F.col(f"_in{x}"), F.col(f"_off{x}")).alias(name) for name, x in inputs.items()],
     )
 
 
@@ -259,8 +263,8 @@ def numbered(
     null_keys: bool = True,
 ) -> DataFrame:
     """``row_number`` (from 1) per ``keys``, bucket by bucket."""
-    one = F.lit(1).cast("bigint")
-    return running(df, keys, order, bucket, "sum", one, name, null_keys=null_keys)
+    one = {name: F.lit(1).cast("bigint")}
+    return running(df, keys, order, bucket, "sum", one, null_keys=null_keys)
 
 
 def previous(

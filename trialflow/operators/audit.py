@@ -305,7 +305,8 @@ def overlaps(
     """
     order, hour = (start, key), [F.date_trunc("hour", F.col(start))]
     if strong:
-        out = running(rows, by, order, hour, "max", F.col(finish), "earlier_finish", inclusive=False)
+        latest = {"earlier_finish": F.col(finish)}
+        out = running(rows, by, order, hour, "max", latest, inclusive=False)
     else:
         out = previous(rows, by, order, hour, (finish,)).withColumnRenamed(
             f"prev_{finish}", "earlier_finish"

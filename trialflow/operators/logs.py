@@ -35,13 +35,21 @@ def parse_logs(lines: DataFrame) -> DataFrame:
     Narrow: every line is judged on its own.
     """
     line = F.col("line")
-    kind = F.when(line.rlike(ITERATION), "iteration").when(line.rlike(ENERGY), "energy").when(
-        line.rlike(DENSITY), "density").when(line.rlike(DEVICE), "device")
-    number = F.when(line.rlike(ITERATION), F.regexp_extract(line, ITERATION, 3)).when(
-        line.rlike(ENERGY), F.regexp_extract(line, ENERGY, 1))
-    for name, label in TIMINGS.items():
-        kind = kind.when(line.rlike(_timing(label)), name)
-        number = number.when(line.rlike(_timing(label)), F.regexp_extract(line, _timing(label), 1))
+    # a literal that each pattern contains spares most lines the pattern itself
+    literals = {
+        "iteration": ("Davidson iteration", ITERATION, 3),
+        "energy": ("diagonalization: Energy", ENERGY, 1),
+        "density": ("diagonalization: density", DENSITY, None),
+        "device": ("has device", DEVICE, None),
+        **{n: (f"Elapsed time for {label}", _timing(label), 1) for n, label in TIMINGS.items()},
+    }
+    kind, number = None, None
+    for name, (literal, pattern, group) in literals.items():
+        test = line.contains(literal) & line.rlike(pattern)
+        kind = F.when(test, name) if kind is None else kind.when(test, name)
+        if group is not None:
+            found, is_kind = F.regexp_extract(line, pattern, group), F.col("kind") == name
+            number = F.when(is_kind, found) if number is None else number.when(is_kind, found)
     is_iteration = F.col("kind") == "iteration"
     return lines.withColumn("kind", kind).where("kind IS NOT NULL").select(
         "file", "pos", "kind", number.try_cast("double").alias("value"),

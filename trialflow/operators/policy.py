@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialflow.functions.memory import feasible
-from trialflow.functions.scaled import HOT_ROWS, grouped_quantiles
+from trialflow.functions.scaled import HOT_ROWS, grouped_quantiles, previous, running, value_bucket
 from trialflow.functions.stats import close, geomean, normalized_regret, runtime_ratio
 from trialflow.operators.rules import needs, reasons, rule
 from trialflow.operators.screen import _scoped
 from trialflow.operators.timing import REPETITIONS
+from trialflow.session import materialized
 
 INSTANCE = ("family_id", "problem_instance")
 
@@ -236,32 +237,39 @@ def family_curves(pairs_: DataFrame, limit: int = 100_000) -> DataFrame:
     ).where("n > 0")
 
 
+def _neighbours(curve: DataFrame, by: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """Running sums of ``values`` plus the adjacent sizes ``prev_size`` and ``next_size``.
+
+    Bucketed by size, so neither many folds nor very many distinct sizes meet in a task.
+    """
+    size, negated = F.col("n_configurations"), -F.col("n_configurations")
+    summed = running(curve, by, ("n_configurations",), [value_bucket(size)], "sum", values, null_keys=False)
+    lower = previous(summed, by, ("n_configurations",), [value_bucket(size)], ("n_configurations",), False)
+    lower = lower.withColumnRenamed("prev_n_configurations", "prev_size").withColumn("_neg", negated)
+    upper = previous(lower, by, ("_neg",), [value_bucket(F.col("_neg"))], ("n_configurations",), False)
+    return upper.withColumnRenamed("prev_n_configurations", "next_size").drop("_neg")
+
+
 def threshold_candidates(curve: DataFrame, by: Sequence[str] = ("fold_id",)) -> DataFrame:
     """Every cut with its objective, in registered order.
 
     Order 0 is ``always_gpu``, then geometric midpoints of adjacent sizes ascending,
-    then ``always_cpu``. A window partition holds the distinct sizes of one fold.
+    then ``always_cpu``. The curve is small and read by several steps: written once.
     """
-    up = Window.partitionBy(*by).orderBy("n_configurations")
-    whole = Window.partitionBy(*by)
-    cuts = curve.select(
-        *by, "n_configurations",
-        F.lead("n_configurations").over(up).alias("_next"),
-        F.row_number().over(up).cast("bigint").alias("cut_order"),
-        F.sum("log_cpu").over(up).alias("_cpu"),
-        (F.sum("log_gpu").over(whole) - F.sum("log_gpu").over(up)).alias("_gpu"),
-        F.sum("log_gpu").over(whole).alias("_all_gpu"),
-        F.sum("n").over(whole).alias("_n"),
-    )
+    curve = materialized(curve)
+    totals = curve.groupBy(*by).agg(F.sum("log_gpu").alias("_all_gpu"), F.sum("n").alias("_n"))
+    cuts = _neighbours(curve, by, {
+        "cut_order": F.lit(1).cast("bigint"), "_gain": F.col("log_cpu") - F.col("log_gpu"),
+    }).join(totals, list(by))
     first = F.struct(
         F.lit(0).cast("bigint").alias("cut_order"), F.lit("always_gpu").alias("kind"),
         F.lit(None).cast("double").alias("threshold"), F.col("_all_gpu").alias("total"),
     )
     this = F.struct(
         F.col("cut_order").alias("cut_order"),
-        F.when(F.col("_next").isNull(), "always_cpu").otherwise("geometric_midpoint").alias("kind"),
-        F.sqrt(F.col("n_configurations").cast("double") * F.col("_next")).alias("threshold"),
-        (F.col("_cpu") + F.col("_gpu")).alias("total"),
+        F.when(F.col("next_size").isNull(), "always_cpu").otherwise("geometric_midpoint").alias("kind"),
+        F.sqrt(F.col("n_configurations").cast("double") * F.col("next_size")).alias("threshold"),
+        (F.col("_all_gpu") + F.col("_gain")).alias("total"),
     )
     both = F.when(F.col("cut_order") == 1, F.array(first, this)).otherwise(F.array(this))
     return cuts.select(*by, "_n", F.explode(both).alias("c")).select(
@@ -288,27 +296,24 @@ def loio_thresholds(pairs_: DataFrame) -> DataFrame:
     curve, and all instances meet them in a join on the size: linear in instances.
     """
     best = F.least("cpu_time", "gpu_time")
-    curve = size_curve(pairs_.withColumn("_all", F.lit(1)), ["_all"])
-    up = Window.partitionBy("_all").orderBy("n_configurations")
-    down = Window.partitionBy("_all").orderBy(F.desc("n_configurations"))
-    whole = Window.partitionBy("_all")
-    cuts = curve.select(
-        "_all", "n_configurations", "n", F.sum("n").over(whole).alias("_n"),
-        F.row_number().over(up).cast("bigint").alias("k"),
-        F.lag("n_configurations").over(up).alias("prev_size"),
-        F.lead("n_configurations").over(up).alias("next_size"),
-        F.sum("log_gpu").over(whole).alias("_g0"),
-        (F.sum("log_cpu").over(up) + F.sum("log_gpu").over(whole) - F.sum("log_gpu").over(up)).alias("_g"),
-    )
-    key = F.struct(F.round(F.col("_g") / F.col("_n"), TIE_DIGITS).alias("m"), F.col("k").alias("k"),
-                   F.col("_g").alias("g"), F.col("n_configurations").alias("size"),
+    curve = materialized(size_curve(pairs_.withColumn("_all", F.lit(1)), ["_all"]))
+    all_gpu = curve.agg(F.sum("log_gpu")).scalar()
+    all_n = curve.agg(F.sum("n")).scalar()
+    cuts = materialized(_neighbours(curve, ["_all"], {
+        "k": F.lit(1).cast("bigint"), "_gain": F.col("log_cpu") - F.col("log_gpu"),
+    }).withColumn("_g0", all_gpu).withColumn("_n", all_n).withColumn("_neg", -F.col("n_configurations")))
+    total = F.col("_g0") + F.col("_gain")
+    key = F.struct(F.round(total / F.col("_n"), TIE_DIGITS).alias("m"), F.col("k").alias("k"),
+                   total.alias("g"), F.col("n_configurations").alias("size"),
                    F.col("next_size").alias("next"))
     zero = F.struct(F.round(F.col("_g0") / F.col("_n"), TIE_DIGITS).alias("m"),
                     F.lit(0).cast("bigint").alias("k"), F.col("_g0").alias("g"),
                     F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("next"))
-    per_size = cuts.withColumn(
-        "_below", F.least(zero, F.min(key).over(up.rowsBetween(Window.unboundedPreceding, -1)))
-    ).withColumn("_above", F.min(key).over(down))
+    size, back = ("n_configurations",), ("_neg",)
+    below = running(cuts, ["_all"], size, [value_bucket(F.col("n_configurations"))], "min",
+                    {"_below": key}, inclusive=False, null_keys=False)
+    per_size = running(below, ["_all"], back, [value_bucket(F.col("_neg"))], "min", {"_above": key},
+                       null_keys=False).withColumn("_below", F.least(zero, F.col("_below")))
     chosen = pairs_.select(
         *INSTANCE, "n_configurations",
         F.ln(F.col("cpu_time") / best).alias("_c"), F.ln(F.col("gpu_time") / best).alias("_d"),

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialflow.functions.scaled import keyed_join
 from trialflow.functions.stats import mib, pct, ratio
-from trialflow.operators.timing import WORKLOAD, best_per_workload, eligible
+from trialflow.operators.timing import WORKLOAD, eligible
 
 
 def crossover(
@@ -17,13 +16,15 @@ def crossover(
 ) -> DataFrame:
     """Medians, quartiles, best flag and CPU/GPU median ratio per workload and candidate."""
     metric = F.col("wall_time_s_median")
-    per_workload = groups.groupBy(*workload).agg(
-        F.min(metric).alias("minimum"),
-        F.max(F.when(F.col("candidate_name") == cpu, metric)).alias("_cpu"),
-        F.max(F.when(F.col("candidate_name") == gpu, metric)).alias("_gpu"),
-    )
-    joined = keyed_join(groups, per_workload, list(workload))
-    return joined.withColumn("is_best", metric == F.col("minimum")).withColumn(
+    # a partition holds the registered candidates of one workload
+    by = Window.partitionBy(*workload)
+
+    def of(name: str):
+        return F.max(F.when(F.col("candidate_name") == name, metric)).over(by)
+
+    placed = groups.select(
+        "*", F.min(metric).over(by).alias("minimum"), of(cpu).alias("_cpu"), of(gpu).alias("_gpu"))
+    return placed.withColumn("is_best", metric == F.col("minimum")).withColumn(
         "cpu_over_gpu", ratio(F.col("_cpu"), F.col("_gpu"))
     ).drop("_cpu", "_gpu")
 

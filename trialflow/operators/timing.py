@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialflow.functions.scaled import HOT_ROWS, keyed_join, numbered, previous, summary
+from trialflow.functions.scaled import HOT_ROWS, numbered, previous, summary
 from trialflow.functions.stats import finite, is_false, is_true, ratio
 from trialflow.operators.rules import Rule, needs, reasons, rule
 
@@ -177,9 +177,10 @@ def best_per_workload(
     groups: DataFrame, metric: str, workload: Sequence[str] = WORKLOAD
 ) -> DataFrame:
     """Minimum of ``metric`` and every candidate that reaches it exactly, as rows."""
-    best = groups.groupBy(*workload).agg(F.min(metric).alias("minimum"))
-    joined = keyed_join(groups, best, list(workload))
-    return joined.withColumn("is_best", F.col(metric) == F.col("minimum"))
+    # a partition holds the registered candidates of one workload
+    best = F.min(metric).over(Window.partitionBy(*workload))
+    return groups.select("*", best.alias("minimum")).withColumn(
+        "is_best", F.col(metric) == F.col("minimum"))
 
 
 def candidate_ratios(
@@ -285,11 +286,9 @@ def thread_scaling(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFram
     """Per instance and thread count; only instances run at two or more counts."""
     keys = ["problem_instance", "family_id", "n_configurations", "cpu_threads"]
     groups = summary(rows, keys, ("wall_time_s", "solver_time_s"), hot_rows=hot_rows)
-    levels = (
-        groups.groupBy("problem_instance").agg(F.countDistinct("cpu_threads").alias("_levels"))
-        .where("_levels >= 2").select("problem_instance")
-    )
-    return keyed_join(groups, levels, ["problem_instance"], "left_semi", null_keys=False)
+    # a partition holds the thread counts of one instance
+    levels = F.size(F.collect_set("cpu_threads").over(Window.partitionBy("problem_instance")))
+    return groups.withColumn("_levels", levels).where("_levels >= 2").drop("_levels")
 
 
 def headroom(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:

@@ -130,7 +130,7 @@ def until_first_failure(
 ) -> DataFrame:
     """Rows of each sequence up to and including its first non-success."""
     failed = (~F.coalesce(F.col("status") == "success", F.lit(False))).cast("bigint")
-    out = running(rows, by, order, bucket, "sum", failed, "_failed_before", inclusive=False)
+    out = running(rows, by, order, bucket, "sum", {"_failed_before": failed}, inclusive=False)
     return out.where("_failed_before = 0").drop("_failed_before")
 
 
