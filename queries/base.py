@@ -54,7 +54,7 @@ def spread(df: DataFrame, least: int = 1 << 20, per_core: int = 8 << 20) -> Data
     shuffled by their first column; anything larger keeps its own splits.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if least < size < per_core * cores:
         return df.repartition(cores, df.columns[0])
     return df
