@@ -121,7 +121,7 @@ SELECT hostname, trial_id, status FROM (SELECT hostname, trial_id, status, sum(C
 def w08(spark, sf_dir):
     return grid.until_first_failure(
         runs(spark, sf_dir).select("hostname", "trial_id", "status", "timestamp_utc"), ["hostname"], ("timestamp_utc", "trial_id"),
-        [F.substring("timestamp_utc", 1, 10)]).select("hostname", "trial_id", "status")
+        [F.substring("timestamp_utc", 1, 16)]).select("hostname", "trial_id", "status")
 
 
 @register("a29_matrix_gaps", duck("""

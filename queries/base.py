@@ -47,10 +47,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def spread(df: DataFrame, least: int = 1 << 20, per_core: int = 8 << 20) -> DataFrame:
+def spread(df: DataFrame, least: int = 1 << 18, per_core: int = 8 << 20) -> DataFrame:
     """Hand a table out to all cores where its files are too few to feed them.
 
-    One row group is one task. Only inputs above 1 MB and below 8 MB per core are
+    One row group is one task. Only inputs above 256 KB and below 8 MB per core are
     shuffled by their first column; anything larger keeps its own splits.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -301,14 +301,14 @@ def overlaps(
     """Trials that start before an earlier one on the same host has finished.
 
     ``strong`` looks at the latest finish of *all* earlier trials, otherwise only the
-    direct predecessor counts. Rows are spread by host and hour.
+    direct predecessor counts. Rows are spread by host and minute.
     """
-    order, hour = (start, key), [F.date_trunc("hour", F.col(start))]
+    order, minute = (start, key), [F.date_trunc("minute", F.col(start))]
     if strong:
         latest = {"earlier_finish": F.col(finish)}
-        out = running(rows, by, order, hour, "max", latest, inclusive=False)
+        out = running(rows, by, order, minute, "max", latest, inclusive=False)
     else:
-        out = previous(rows, by, order, hour, (finish,)).withColumnRenamed(
+        out = previous(rows, by, order, minute, (finish,)).withColumnRenamed(
             f"prev_{finish}", "earlier_finish"
         )
     return out.where(F.col(start) < F.col("earlier_finish")).select(

@@ -168,8 +168,8 @@ def timing_members(
 ) -> DataFrame:
     """Members of each group numbered in (timestamp, id) order, as rows."""
     order = ("timestamp_utc", "trial_id")
-    day = F.substring("timestamp_utc", 1, 10)
-    out = numbered(included.select(*keys, *order), keys, order, [day], "position")
+    minute = F.substring("timestamp_utc", 1, 16)
+    out = numbered(included.select(*keys, *order), keys, order, [minute], "position")
     return out.select(*keys, "position", "trial_id")
 
 
