@@ -1,10 +1,11 @@
 """MinHash near-duplicates: universal hash minima, banding, verification, star components.
 
 Documents with equal shingle sets collapse to one class first, so groups of copies cost
-one row. Classes meet in bands; inside a bucket every member is compared with one leader
-at a time (the smallest id, then pseudo-random ones), and only members that are still in
-different components afterwards are compared in full, chunk by chunk. Components come
-from alternating large-star and small-star over written tables.
+one row. Classes meet in bands of equal minima, and buckets that share documents form
+clusters. Within a cluster, parts of bounded size are compared with each other, first by
+signature, then on the full sets; only links that connect something leave a task. Clusters
+too large for that are compared bucket by bucket. Components, of clusters and of links,
+come from alternating large-star and small-star over written tables.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ BANDS, ROWS = 28, 5
 MINIMA = BANDS * ROWS
 #: a pair at the threshold that agrees on fewer minima than 4 standard errors below is let go
 SLACK = 4.0
-CHUNK = 256
+#: most documents, and bytes of their sets, that one task compares with as many others
+CHUNK, CHUNK_BYTES = 512, 32 << 20
+#: clusters of more parts than this are compared bucket by bucket
+MOST_PARTS = 32
 _RNG = np.random.default_rng(9)
 _A = _RNG.integers(0, 2**31, MINIMA, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, MINIMA, dtype=np.uint32)[:, None]
@@ -86,90 +90,73 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialized(small.toDF("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
 
-def _agreement(sig_a, sig_b) -> np.ndarray:
-    a = np.frombuffer(b"".join(sig_a), np.uint32).reshape(-1, MINIMA)
-    b = np.frombuffer(b"".join(sig_b), np.uint32).reshape(-1, MINIMA)
-    return (a == b).mean(axis=1)
-
-
-def _least_agreement(num: int, den: int) -> float:
+def _links(left, right, num: int, den: int):
+    """Positions of the linked pairs between two lists of (signature, set): signatures first, then the full sets."""
     p = num / den
-    return p - SLACK * math.sqrt(p * (1 - p) / MINIMA)
-
-
-def _similar(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b), those linked: first by signature, then on the full sets."""
-    least = _least_agreement(num, den)
-
-    def by_signature(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.loc[_agreement(pdf["sig_a"], pdf["sig_b"]) >= least, ["a", "b"]]
-
-    def by_set(batches):
-        for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for i, (x, y) in enumerate(zip(pdf["set_a"], pdf["set_b"], strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep[i] = den * both >= num * (len(x) + len(y) - both)
-            yield pdf.loc[keep, ["a", "b"]].set_axis(["u", "v"], axis=1)
+    least = np.ceil((p - SLACK * math.sqrt(p * (1 - p) / MINIMA)) * MINIMA)
+    sig_l, sig_r = (np.frombuffer(b"".join(s for s, _ in x), np.uint32).reshape(-1, MINIMA) for x in (left, right))
+    agree = np.zeros((len(left), len(right)), np.uint8)
+    for k in range(MINIMA):
+        agree += sig_l[:, k][:, None] == sig_r[:, k][None, :]
+    near = agree >= least
+    rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(rows):
+        return rows, rows
+    sets = [np.frombuffer(left[i][1], np.uint64) for i in rows] + [np.frombuffer(right[i][1], np.uint64) for i in cols]
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(term)[term] > 1
+    owner, term = owner[shared], np.unique(term[shared], return_inverse=True)[1]
+    order = np.argsort(term, kind="stable")
+    owner, term = owner[order], term[order]
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    last = int(term[-1]) + 1 if len(term) else 0
+    for start in range(0, last, 4096):
+        i, j = np.searchsorted(term, (start, start + 4096))
+        table = np.zeros((len(sets), min(4096, last - start)), np.float32)
+        table[owner[i:j], term[i:j] - start] = 1
+        both += table[: len(rows)] @ table[len(rows) :].T
+    union = sizes[: len(rows), None] + sizes[None, len(rows) :] - both
+    i, j = np.nonzero((den * both >= num * union) & near[np.ix_(rows, cols)])
+    return rows[i], cols[j]
+
+
+def _compared(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) inside groups of (g, id, sig, set, parts), enough to connect what is linked.
+
+    A group of several parts is compared part against part, each pair of parts in a task
+    of its own; a task returns no link that its other links imply.
+    """
 
-    def beside(df, right, column):
-        return df.join(right.select(F.col("id").alias("a"), F.col(column).alias(f"{column}_a")), "a").join(
-            right.select(F.col("id").alias("b"), F.col(column).alias(f"{column}_b")), "b")
+    def run(pdf):
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        ids, part = pdf["id"].to_numpy(), pdf["part"].to_numpy()
+        items = list(zip(pdf["sig"], pdf["set"], strict=True))
+        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        rows, cols = _links([items[i] for i in left], [items[i] for i in right], num, den)
+        parent: dict = {}
 
-    near = beside(pairs, sigs, "sig").mapInPandas(by_signature, "a bigint, b bigint")
-    return beside(near, sets, "set").select("a", "b", "set_a", "set_b").mapInPandas(by_set, "u bigint, v bigint")
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
 
+        out = []
+        for x, y in zip(ids[left[rows]], ids[right[cols]], strict=True):
+            a, b = root(x), root(y)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((x, y))
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
-def _rest(members: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of members of one bucket in different components that may be similar.
+    dealt = groups.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
+    met = met.select("g", "id", "sig", "set", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    return met.groupBy("g", "lo", "hi").applyInPandas(run, "u bigint, v bigint")
 
-    Buckets above ``CHUNK`` members are split by a second band (a similar pair meets again
-    in another one); what is still larger is compared chunk against chunk.
-    """
-    least = _least_agreement(num, den)
 
-    def again(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            keys = bands(np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, MINIMA)).view(np.uint64)
-            joint = mixed(keys ^ (pdf["bucket"].to_numpy().view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)))
-            other = keys != pdf["bucket"].to_numpy().view(np.uint64)[:, None]
-            row, col = np.nonzero(other)
-            yield pd.DataFrame({"bucket": joint[row, col].view(np.int64), "id": pdf["id"].to_numpy()[row],
-                                "comp": pdf["comp"].to_numpy()[row], "sig": pdf["sig"].to_numpy()[row]})
-
-    def compare(pdf):
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, MINIMA)
-        ids, comp, chunk = (pdf[c].to_numpy() for c in ("id", "comp", "chunk"))
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        left, right = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
-        out = []
-        for i in left:
-            near = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (lo != hi))]
-            near = near[(sig[near] == sig[i]).mean(axis=1) >= least]
-            out += [(min(ids[i], x), max(ids[i], x)) for x in ids[near]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    def split(df):
-        per = df.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("first"), F.max("comp").alias("last"))
-        return df.join(per.where("first <> last").select("bucket", "size"), "bucket")
-
-    sized = split(members.join(sigs, "id"))
-    hot = split(sized.where(F.col("size") > CHUNK).select("bucket", "id", "comp", "sig").mapInPandas(
-        again, "bucket bigint, id bigint, comp bigint, sig binary"))
-    every = sized.where(F.col("size") <= CHUNK).select(hot.columns).unionByName(hot)
-    parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    every = every.withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = every.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn(
-        "lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-    return met.groupBy("bucket", "lo", "hi").applyInPandas(compare, "a bigint, b bigint").distinct()
-
-
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, leaders: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
     """Component of each document under ``den * intersection >= num * union`` of 5-word shingles.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable) and kept. Texts
@@ -180,8 +167,6 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, leaders: int
     base = materialized(signatures(docs))
     rows = base.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialized(rows.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")))
-    # equal ids of different texts stay apart only until here: one signature per id
-    sigs = classes.groupBy("id").agg(F.min("sig").alias("sig"))
 
     def banded(batches):
         for pdf in batches:
@@ -192,29 +177,31 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, leaders: int
     keyed = classes.select("id", "sig").mapInPandas(banded, "bucket bigint, id bigint")
     lead = keyed.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last")
     members = materialized(keyed.join(lead.select("bucket", "leader"), "bucket"))
-    busy = members.select("id").distinct()
-    sigs = materialized(sigs.join(busy, "id"))
+
+    # which documents can be linked at all: components of the buckets, by one link from each
+    # document to its first leader and one from there to each of its other leaders
+    leaders = members.groupBy("id").agg(F.collect_set("leader").alias("all")).select("id", "all", F.array_min("all").alias("first"))
+    met = leaders.select(F.col("id").alias("u"), F.col("first").alias("v")).union(leaders.select(F.explode("all").alias("u"), "first"))
+    clusters = components(met.where("u <> v").distinct())
+    busy = materialized(members.select("id").distinct().join(clusters, "id", "left").select("id", F.coalesce("root", "id").alias("cluster")))
 
     def whole(batches):
         for pdf in batches:
             raw = encoded(pdf["text"])
             sets = [s.tobytes() for i, j in chunks(raw) for s in shingle_sets(raw[i:j])]
-            yield pd.DataFrame({"id": pdf["id"], "set": sets})
+            yield pd.DataFrame({"id": pdf["id"], "cluster": pdf["cluster"], "set": sets})
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    sets = materialized(texts.join(busy, "id").mapInPandas(whole, "id bigint, set binary").dropDuplicates(["id"]))
-
-    pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    edges = _similar(pairs, sigs, sets, num, den)
+    sets = texts.join(busy, "id").mapInPandas(whole, "id bigint, cluster bigint, set binary").dropDuplicates(["id"])
+    items = materialized(sets.join(classes.groupBy("id").agg(F.min("sig").alias("sig")), "id"))
+    parts = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.length("set") + 4 * MINIMA) / CHUNK_BYTES)).alias("parts")
+    sized = items.join(items.groupBy("cluster").agg(F.count("*").alias("size"), parts).where("size > 1"), "cluster")
+    edges = _compared(sized.where(F.col("parts") <= MOST_PARTS).select(F.col("cluster").alias("g"), "id", "sig", "set", "parts"), num, den)
+    # what hangs together more loosely is compared bucket by bucket
+    loose = sized.where(F.col("parts") > MOST_PARTS).select("id", "sig", "set").join(members.select("id", "bucket"), "id")
+    per = loose.groupBy("bucket").agg(F.count("*").alias("size"), parts).where("size > 1")
+    edges = edges.union(_compared(loose.join(per, "bucket").select(F.col("bucket").alias("g"), "id", "sig", "set", "parts"), num, den))
     roots = components(edges)
-    for turn in range(1, leaders + 1):
-        apart = _apart(members, roots)
-        best = apart.groupBy("bucket").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", "bucket", F.lit(turn))).alias("l"))
-        pairs = apart.join(best, "bucket").where("comp <> l.comp").select(
-            F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
-        roots = components(roots.toDF("u", "v").union(_similar(pairs, sigs, sets, num, den)))
-    last = _similar(_rest(_apart(members, roots), sigs, num, den), sigs, sets, num, den)
-    roots = components(roots.toDF("u", "v").union(last))
     named = classes.select("set_key", "id").join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
     out = base.join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("root"))).otherwise(F.col("doc_id"))
@@ -222,13 +209,6 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, leaders: int
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold more than one component."""
-    named = materialized(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp")))
-    open_ = named.groupBy("bucket").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last")
-    return named.join(open_.select("bucket"), "bucket")
-
-
 def without_near_duplicates(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """One document of each group, the one with the smallest id; all columns of ``docs``.
 
