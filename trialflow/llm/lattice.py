@@ -190,6 +190,19 @@ def expected(some: list[str], counts: np.ndarray, pieces: Pieces) -> np.ndarray:
     return out
 
 
+def _gathered(batches, rows: int = 60_000):
+    """Batches of about ``rows`` rows, since tables of equal word length want many words."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held)
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """Word counts by document, and by block of documents, in one written table.
 
@@ -259,7 +272,7 @@ def lattice_scores(docs: DataFrame, learns, path: str, rounds: int = 2) -> DataF
         def run(batches):
             pieces = Pieces(*held.value)
             total = np.zeros(len(pieces.names))
-            for pdf in batches:
+            for pdf in _gathered(batches):
                 total += expected(list(pdf["word"]), pdf["c"].to_numpy(np.float64), pieces)
             yield pd.DataFrame({"piece": np.flatnonzero(total), "n": total[total > 0]})
 
@@ -278,7 +291,7 @@ def lattice_scores(docs: DataFrame, learns, path: str, rounds: int = 2) -> DataF
 
     def scored(batches):
         pieces = Pieces(*held.value)
-        for pdf in batches:
+        for pdf in _gathered(batches):
             yield pd.DataFrame({"word": pdf["word"], "c": pdf["c"], "lp": log10_of(list(pdf["word"]), pieces)})
 
     known = counted.mapInPandas(scored, "word string, c bigint, lp double")
