@@ -14,7 +14,6 @@ back to the blocks, so no word and no document is ever gathered in one place.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
@@ -27,18 +26,15 @@ from trialflow.session import materialized
 
 SPACE = "▁"
 #: bytes of text in a block, one document at least
-BLOCK_BYTES = 4 << 20
-_SPLIT = re.compile("[\x20\x09-\x0d]+")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+BLOCK_BYTES = 16 << 20
 _CHUNK = 20_000
 #: words up to this many characters are scored in tables, longer ones one by one
 _TABLE = 40
 
 
-def words(text: str) -> list[str]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case."""
-    text = text.translate(_LOWER) if not text.isascii() else text.lower()
-    return [w for w in _SPLIT.split(text) if w]
+def words(text: str) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` in UTF-8 with A-Z in lower case."""
+    return text.encode("utf-8", "replace").lower().split()
 
 
 class Pieces:
@@ -212,34 +208,33 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
-        kept, index, train, size = [], {}, Counter(), 0
+        kept, index, size = [], {}, 0
 
         def closed():
-            nonlocal kept, index, train, size, number
             block = (task << 32) + number
-            number += 1
-            names = list(index)
-            if kept:
-                yield pd.DataFrame({"block": block, "doc_id": [k[0] for k in kept], "learns": [k[1] for k in kept], "n_tokens": [k[2] for k in kept],
-                                    "ids": [k[3] for k in kept], "counts": [k[4] for k in kept], "word": None, "place": None, "c": None})
+            train = np.zeros(len(index), np.int64)
+            for _, learns, _, ids, counts in kept:
+                if learns:
+                    train[np.frombuffer(ids, "<i4")] += np.frombuffer(counts, "<i4")
+            none = dict.fromkeys(("doc_id", "learns", "n_tokens", "ids", "counts", "word", "place", "c"))
+            for i in range(0, len(kept), 1000):
+                columns = zip(*kept[i : i + 1000], strict=True)
+                yield pd.DataFrame({"block": block} | none | dict(zip(("doc_id", "learns", "n_tokens", "ids", "counts"), columns, strict=True)))
+            names = [w.decode("utf-8") for w in index]
             for i in range(0, len(names), _CHUNK):
                 part = names[i : i + _CHUNK]
-                yield pd.DataFrame({"block": block, "doc_id": None, "learns": None, "n_tokens": None, "ids": None, "counts": None,
-                                    "word": part, "place": np.arange(i, i + len(part)), "c": [train[w] for w in part]})
-            kept, index, train, size = [], {}, Counter(), 0
+                yield pd.DataFrame({"block": block} | none | {"word": part, "place": np.arange(i, i + len(part)), "c": train[i : i + len(part)]})
 
         for pdf in batches:
             for doc_id, text, learns in zip(pdf["doc_id"], pdf["text"], pdf["learns"], strict=True):
                 found = Counter(words(text)) if isinstance(text, str) else Counter()
-                if learns:
-                    train.update(found)
-                for w in found:
-                    if w not in index:
-                        index[w] = len(index)
-                kept.append((doc_id, bool(learns), sum(found.values()), np.array([index[w] for w in found], "<i4").tobytes(), np.array(list(found.values()), "<i4").tobytes()))
+                place = index.setdefault
+                ids = np.array([place(w, len(index)) for w in found], "<i4").tobytes()
+                kept.append((doc_id, bool(learns), sum(found.values()), ids, np.array(list(found.values()), "<i4").tobytes()))
                 size += len(text) if isinstance(text, str) else 0
                 if size >= BLOCK_BYTES:
                     yield from closed()
+                    kept, index, size, number = [], {}, 0, number + 1
         yield from closed()
 
     return docs.mapInPandas(run, "block bigint, doc_id bigint, learns boolean, n_tokens bigint, ids binary, counts binary, word string, place int, c bigint")
