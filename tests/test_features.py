@@ -47,14 +47,15 @@ def test_hamming_join_equals_all_pairs(spark, width):
 
 def test_pair_budget(spark):
     df = strings(spark, {"f": ["0011", "0101", "1001", "0110"]})
-    assert X.within_budget(df, 5).count() == 0
-    row = X.within_budget(df, 6).first()
+    assert X.pair_counts(df, 5).where("within_budget").count() == 0
+    row = X.pair_counts(df, 6).first()
     assert row["unordered_pair_comparisons"] == 6
     stats = X.degree_stats(df, X.hamming_neighbours(df, 4, budget=6), 6).first()
     s, d = stats["directed_single_edges"], stats["directed_double_edges"]
     work = spark.range(1).select(memory.work_proxy(*[F.lit(x) for x in (4, 4, s, d, s, d)]).alias("w")).first()["w"]
     assert work == 16 + 2 * 4 * (s + d) + s * s
-    assert X.degree_stats(df, X.hamming_neighbours(df, 4, budget=5), 5).count() == 0
+    beyond = X.degree_stats(df, X.hamming_neighbours(df, 4, budget=5), 5).first()
+    assert beyond["determinants"] == 4 and not beyond["within_budget"] and beyond["single_degree_max"] is None
 
 
 def test_isolated_strings_count_with_degree_zero(spark):
@@ -188,3 +189,13 @@ def test_log_violations(spark):
     found = {(r["file"], r["rule"]) for r in bad.collect()}
     assert {("none", "no_iteration"), ("none", "energy_count"), ("two", "energy_count"), ("nodev", "device_line_missing"),
             ("bad", "density_malformed"), ("rep", "helper_construction_time_s_repeated")} <= found
+
+
+def test_long_lists_keep_their_pairs(spark):
+    texts = [format(i * 2654435761 % (1 << 24), "024b") for i in range(1500)]
+    df = spark.createDataFrame([("big", i, t) for i, t in enumerate(texts)], "file string, pos bigint, bits string")
+    near = X.hamming_neighbours(df, 24)
+    values = [int(t, 2) for t in texts]
+    want = {d: sum(1 for a in values for b in values if (a ^ b).bit_count() == d) for d in (2, 4)}
+    stats = X.degree_stats(df, near).first()
+    assert (stats["directed_single_edges"], stats["directed_double_edges"]) == (want[2], want[4])

@@ -12,8 +12,6 @@ from trialflow.functions.scaled import keyed_join, previous
 from trialflow.functions.stats import finite
 from trialflow.operators.rules import needs, reasons, rule
 
-#: fixed value: unordered pairs up to which connectivity is exact, NULL beyond
-PAIR_BUDGET = 1_000_000
 WORD_BITS = 60
 
 # -- bit strings ---------------------------------------------------------------
@@ -136,30 +134,32 @@ def _distance(left: str, right: str, words: int) -> Column:
     return total
 
 
-def within_budget(strings: DataFrame, budget: int = PAIR_BUDGET) -> DataFrame:
-    """Files whose number of unordered pairs does not exceed the budget."""
+def pair_counts(strings: DataFrame, budget: int | None = None) -> DataFrame:
+    """Strings and unordered pairs of every file, and whether the pairs fit a budget (if any)."""
     counts = strings.groupBy("file").agg(F.count(F.lit(1)).alias("determinants"))
     n = F.col("determinants")
-    return counts.withColumn(
-        "unordered_pair_comparisons", F.call_function("div", n * (n - 1), F.lit(2).cast("bigint"))
-    ).where(F.col("unordered_pair_comparisons") <= budget)
+    pairs = F.call_function("div", n * (n - 1), F.lit(2).cast("bigint"))
+    fits = F.lit(True) if budget is None else pairs <= budget
+    return counts.withColumn("unordered_pair_comparisons", pairs).withColumn("within_budget", fits)
 
 
 def hamming_neighbours(
-    strings: DataFrame, width: int, radius: int = 4, budget: int = PAIR_BUDGET
+    strings: DataFrame, width: int, radius: int = 4, budget: int | None = None
 ) -> DataFrame:
     """Directed pairs ``(file, a, b, dist)`` of a file with ``1 <= dist <= radius``.
 
     Strings within ``radius`` agree on at least one of ``radius + 1`` bands, so equal
-    bands are joined and a pair is kept at its first equal band only. Files beyond the
-    pair budget take no part; their connectivity is NULL by definition, which also
-    bounds the work of any band.
+    bands are joined and a pair is kept at its first equal band only. A caller may set a
+    budget of unordered pairs per file; files beyond it then take no part.
     """
     bands = radius + 1
     edges = [width * i // bands for i in range(bands + 1)]
     slices = [F.substring("bits", edges[i] + 1, edges[i + 1] - edges[i]) for i in range(bands)]
-    small = within_budget(strings, budget).select("file")
-    nodes = keyed_join(strings, small, ["file"], "left_semi", null_keys=False).select(
+    chosen = strings
+    if budget is not None:
+        small = pair_counts(strings, budget).where("within_budget").select("file")
+        chosen = keyed_join(strings, small, ["file"], "left_semi", null_keys=False)
+    nodes = chosen.select(
         "file", F.col("pos").alias("node"), bit_words(F.col("bits"), width).alias("words"),
         F.array(*slices).alias("bands"),
     )
@@ -185,11 +185,12 @@ def hamming_neighbours(
 
 
 def degree_stats(
-    strings: DataFrame, neighbours: DataFrame, budget: int = PAIR_BUDGET
+    strings: DataFrame, neighbours: DataFrame, budget: int | None = None
 ) -> DataFrame:
     """Single (distance 2) and double (distance 4) degrees per file.
 
-    Isolated strings count with degree 0. Files beyond the budget are absent here.
+    Isolated strings count with degree 0. Files beyond a budget keep their row, with
+    ``within_budget`` false and every degree NULL; that column is there only with a budget.
     """
     per_node = neighbours.groupBy("file", F.col("a").alias("node")).agg(
         F.count_if(F.col("dist") == 2).alias("s"), F.count_if(F.col("dist") == 4).alias("d"))
@@ -200,13 +201,12 @@ def degree_stats(
         F.min("d").alias("_d_lo"), F.max("d").alias("_d_hi"),
     )
     zero = F.lit(0).cast("bigint")
-    out = within_budget(strings, budget).join(degrees, "file", "left")
+    out = pair_counts(strings, budget).join(degrees, "file", "left")
     n = F.col("determinants")
     possible = n * (n - 1)
     untouched = F.coalesce(F.col("_touched"), zero) < n
     s, d = (F.coalesce(F.col(f"directed_{k}_edges"), zero) for k in ("single", "double"))
-    return out.select(
-        "file", "determinants", "unordered_pair_comparisons",
+    stats = [
         s.alias("directed_single_edges"), d.alias("directed_double_edges"),
         F.when(untouched, zero).otherwise(F.col("_s_lo")).alias("single_degree_min"),
         F.coalesce("_s_hi", zero).alias("single_degree_max"), (s / n).alias("single_degree_mean"),
@@ -214,7 +214,13 @@ def degree_stats(
         F.coalesce("_d_hi", zero).alias("double_degree_max"), (d / n).alias("double_degree_mean"),
         F.when(possible > 0, s / possible).otherwise(0.0).alias("single_edge_density"),
         F.when(possible > 0, d / possible).otherwise(0.0).alias("double_edge_density"),
-    )
+    ]
+    head = ["file", "determinants", "unordered_pair_comparisons"]
+    if budget is None:
+        return out.select(*head, *stats)
+    flagged = out.select(*head, "within_budget", *stats)
+    degree_names = flagged.columns[len(head) + 1 :]
+    return flagged.select(*head, "within_budget", *[F.when(F.col("within_budget"), F.col(c)).alias(c) for c in degree_names])
 
 
 # -- integral files ------------------------------------------------------------

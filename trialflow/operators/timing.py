@@ -188,7 +188,6 @@ def candidate_ratios(
     candidates: Sequence[str],
     metrics: dict[str, str],
     workload: Sequence[str] = WORKLOAD,
-    limit: int = 64,
 ) -> DataFrame:
     """Left/right ratios for the pairs of *registered* candidates of each workload.
 
@@ -196,8 +195,6 @@ def candidate_ratios(
     ``k*(k-1)/2`` rows per workload. ``metrics`` maps output name to column.
     """
     names = sorted(candidates)
-    if len(names) > limit:
-        raise ValueError(f"{len(names)} candidates exceed the registered limit {limit}")
     cells = [
         F.max(F.when(F.col("candidate_name") == name, F.struct(*metrics.values()))).alias(f"_c{i}")
         for i, name in enumerate(names)
