@@ -12,6 +12,7 @@ its highest sentence, calibrated to a probability.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,16 +33,28 @@ LENGTH, DECAY = 4, 0.6
 FLOOR, SHARED = 0.2, 0.5
 #: longer words are read in overlapping pieces
 PIECE = 24
+#: marks of a word's first and last edge; no letters
+EDGES = "^_"
 #: words a task keeps the values of
 KNOWN_WORDS = 400_000
+#: odds of a landmark's sentences under label 1 against label 0, at least
+LIFT = 4
+SENTENCE_END = r"[.!?]+\s+|\n"
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def pieces(word: str) -> list[str]:
-    """The letters of a word; more than ``PIECE`` in halves that overlap."""
+    """The letters of a word between edge marks, none for short words; long ones in halves that overlap.
+
+    Edge marks are characters like others, so words that begin or end alike come nearer
+    than words that hold the same letters further inside.
+    """
     w = word if word.isalpha() else _NOT_LETTERS.sub("", word)
-    if len(w) <= PIECE:
+    if len(w) < LENGTH:
+        return []
+    w = EDGES[0] + w + EDGES[1]
+    if len(w) <= PIECE + 2:
         return [w]
     return [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)]
 
@@ -90,8 +103,8 @@ def normalised(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def _letters(words: list[str]) -> np.ndarray:
-    """Letter counts folded into 32 columns."""
-    codes = _codes(words)
+    """Letter counts folded into 32 columns, without edges."""
+    codes = _codes([w.strip(EDGES) for w in words])
     flat = np.arange(len(words))[:, None] * 32 + codes % 32
     return np.bincount(flat[codes != 0], minlength=len(words) * 32).reshape(len(words), 32).astype(np.uint8)
 
@@ -107,7 +120,7 @@ class Model:
 
     def word_values(self, words: list[str]) -> dict[str, np.ndarray]:
         """Normalised kernel with every landmark, for the words near one that speaks for label 1."""
-        parts = [(w, p) for w in words for p in pieces(w) if len(p) >= LENGTH]
+        parts = [(w, p) for w in words for p in pieces(w)]
         parts.sort(key=lambda x: len(x[1]))
         marks, mark_codes = _letters(self.landmarks), _codes(self.landmarks)
         mark_own = kernel(self.landmarks, self.landmarks)
@@ -185,15 +198,25 @@ def _words(column: str):
 
 
 def _landmarks(rows: DataFrame, most: int) -> list[str]:
-    """Words that speak for label 1: log odds, less two standard errors, by documents."""
-    seen = rows.select("label", F.explode(_words("text")).alias("w")).where(F.length("w").between(LENGTH, PIECE)).groupBy("w").agg(
-        F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    sizes = rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
+    """Words that speak for label 1, by the distinct sentences that hold them.
+
+    Sentences that copies share count once, or the words of a copied document would look
+    like insults. A word counts if its likelihood ratio against "no more frequent under
+    label 1" stands out among all words tried, and its odds are ``LIFT`` times higher.
+    """
+    parts = rows.select("label", F.explode(F.split(F.lower("text"), SENTENCE_END)).alias("text"))
+    parts = parts.groupBy("label", F.xxhash64("text")).agg(F.min("text").alias("text"))
+    held = parts.select("label", F.explode(_words("text")).alias("w")).where(F.length("w").between(LENGTH, PIECE))
+    seen = materialized(held.groupBy("w").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")))
+    sizes = parts.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     n1, n0 = max(1, sizes[0] or 0), max(1, sizes[1] or 0)
-    lift = F.log((F.col("pos") + 0.5) / (n1 + 1.0)) - F.log((F.col("neg") + 0.5) / (n0 + 1.0))
-    sure = lift - 2 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    top = seen.where("pos >= 2").select("w", sure.alias("z")).where("z > 0.7").orderBy(F.col("z").desc(), "w").limit(most)
-    return [r["w"] for r in top.collect()]
+    share = n1 / (n1 + n0)
+    pos, neg, both = F.col("pos"), F.col("neg"), F.col("pos") + F.col("neg")
+    ratio = 2 * (pos * F.log(pos / (both * share)) + F.when(neg > 0, neg * F.log(neg / (both * (1 - share)))).otherwise(0.0))
+    lift = (pos + 0.5) / (n1 + 1.0) / ((neg + 0.5) / (n0 + 1.0))
+    top = seen.where("pos >= 2").select("w", ratio.alias("g"), lift.alias("lift"))
+    top = top.where((F.col("g") > 2 * math.log(max(2, seen.count()))) & (F.col("lift") > LIFT)).orderBy(F.col("g").desc(), "w").limit(most)
+    return [EDGES[0] + r["w"] + EDGES[1] for r in top.collect()]
 
 
 def _against(rows: DataFrame, positive: list[str], most: int) -> list[str]:
@@ -206,7 +229,7 @@ def _against(rows: DataFrame, positive: list[str], most: int) -> list[str]:
             for i in range(0, len(pdf), 128):
                 each = [words_of(t) for t in pdf["text"][i : i + 128]]
                 near = held.value.word_values(sorted(set().union(*each)))
-                found = [(p, float(near[w].max())) for words in each for w in words if w in near for p in pieces(w) if len(p) >= LENGTH]
+                found = [(p, float(near[w].max())) for words in each for w in words if w in near for p in pieces(w)]
                 yield pd.DataFrame(found, columns=["w", "near"])
 
     near = rows.where("label = 0").select("text").mapInPandas(run, "w string, near double").groupBy("w").agg(
@@ -215,19 +238,31 @@ def _against(rows: DataFrame, positive: list[str], most: int) -> list[str]:
     return [r["w"] for r in top if r["w"] not in set(positive)]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Linear support vector machine with squared hinge loss, by Newton steps; last entry is the bias."""
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Linear support vector machine with squared hinge loss; last entry is the bias.
+
+    Newton steps, each halved until the loss falls: a full step would let rows leave and
+    enter the margin in turn without end.
+    """
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     penalty = np.eye(x.shape[1])
     penalty[-1, -1] = 1e-6
+
+    def loss(w):
+        return w @ penalty @ w / 2 + cost @ np.maximum(0, 1 - y * (x @ w)) ** 2
+
+    now = loss(w)
     for _ in range(rounds):
         inside = y * (x @ w) < 1
         xs, cs = x[inside], cost[inside][:, None]
-        step = np.linalg.solve(penalty + 2 * xs.T @ (cs * xs), 2 * xs.T @ (cs[:, 0] * y[inside]))
-        if np.allclose(step, w, atol=1e-7):
+        step = np.linalg.solve(penalty + 2 * xs.T @ (cs * xs), 2 * xs.T @ (cs[:, 0] * y[inside])) - w
+        share = 1.0
+        while (then := loss(w + share * step)) > now and share > 1e-6:
+            share /= 2
+        if then >= now * (1 - 1e-9):
             break
-        w = step
+        w, now = w + share * step, then
     return w
 
 
@@ -269,25 +304,35 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE, landmarks: int
 
     got = rows.mapInPandas(run, "doc_id bigint, label int, v binary").toPandas().sort_values("doc_id")
     y_doc = np.where(got["label"].to_numpy() == 1, 1.0, -1.0)
-    bags = [np.frombuffer(v, np.float32).reshape(-1, len(marks)).astype(np.float64) for v in got["v"]]
+    return train([np.frombuffer(v, np.float32).reshape(-1, len(marks)).astype(np.float64) for v in got["v"]], y_doc, marks, len(positive))
+
+
+def train(bags: list[np.ndarray], y_doc: np.ndarray, marks: list[str], positive: int) -> Model:
+    """The machine over documents that are bags of words' kernel values.
+
+    A toxic document's examples are its highest word and all words equal to a landmark, so
+    that an insult that always comes with others also gets its weight.
+    """
     first, second = np.divmod(np.arange(len(marks) ** 2), len(marks))
     among = normalised([marks[i] for i in first], [marks[i] for i in second]).reshape(len(marks), -1).astype(np.float64)
     values, turn = np.linalg.eigh((among + among.T) / 2)
     root = turn / np.sqrt(np.maximum(values, 1e-3)) @ turn.T
+    equal = [np.flatnonzero(b[:, :positive].max(axis=1, initial=0.0) > 0.999) for b in bags]
     bags = [np.vstack([b, np.zeros(len(marks))]) @ root for b in bags]
     clean = [b for b, y in zip(bags, y_doc, strict=True) if y < 0] or [np.zeros((1, len(marks)))]
     clean = np.unique(np.round(np.concatenate(clean), 6), axis=0)
-    w = np.append(np.linalg.solve(root, (np.arange(len(marks)) < len(positive)).astype(float)), 0.0)
+    w = np.append(np.linalg.solve(root, (np.arange(len(marks)) < positive).astype(float)), 0.0)
     for _ in range(8):
-        stand = np.array([b[np.argmax(b @ w[:-1])] for b, y in zip(bags, y_doc, strict=True) if y > 0])
-        x, y = np.vstack([stand, clean]), np.concatenate([np.ones(len(stand)), -np.ones(len(clean))])
-        cost = np.where(y > 0, 30000.0 / len(stand), 30000.0 / len(clean))
+        stand = [b[np.union1d(e, np.argmax(b @ w[:-1])).astype(int)] for b, e, y in zip(bags, equal, y_doc, strict=True) if y > 0]
+        share = np.concatenate([np.full(len(b), 1 / len(b)) for b in stand])
+        x, y = np.vstack([*stand, clean]), np.concatenate([np.ones(len(share)), -np.ones(len(clean))])
+        cost = np.concatenate([30000.0 / len(stand) * share, np.full(len(clean), 30000.0 / len(clean))])
         new = _svm(x, y, cost)
         if np.allclose(new, w, atol=1e-5):
             break
         w = new
     margin = np.array([max((b @ w[:-1]).max(), 0.0) + w[-1] for b in bags])
-    return Model(marks, len(positive), root @ w[:-1], float(w[-1]), _platt(margin, y_doc))
+    return Model(marks, positive, root @ w[:-1], float(w[-1]), _platt(margin, y_doc))
 
 
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
