@@ -99,16 +99,28 @@ def grow(x: np.ndarray, leaf_rows: int, branches: int = BRANCHES, seed: int = 4)
     return Tree(np.array(centres), np.array(first), np.array(count))
 
 
-def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return np.sqrt(((v - q[None, :]) ** 2).sum(axis=1))
+def _nearest(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, cv: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of queries and candidates and their distances: the k nearest of each query.
 
-
-def _nearest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    if len(d) > 4 * k:
-        at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-    else:
-        at = np.arange(len(d))
-    return at[np.lexsort((ids[at], d[at]))[:k]]
+    A matrix product finds what can be among them, with room for its rounding; distances
+    and ties are judged on the differences themselves. A row is no candidate for its own id.
+    """
+    near = qi[:, None] != ci[None, :]
+    with np.errstate(all="ignore"):
+        rough = _distances(q, cv)
+        if len(ci) > k and np.isfinite(rough).all():
+            rough[~near] = np.inf
+            room = 1e-10 * ((q * q).sum(axis=1) + (cv * cv).sum(axis=1).max())
+            near &= rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + room)[:, None]
+    a, b = np.nonzero(near)
+    d = np.empty(len(a))
+    for i in range(0, len(a), 1 << 15):
+        part = slice(i, i + (1 << 15))
+        d[part] = np.sqrt(((cv[b[part]] - q[a[part]]) ** 2).sum(axis=1))
+    order = np.lexsort((ci[b], d, a))
+    a, b, d = a[order], b[order], d[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[keep], b[keep], d[keep]
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding",
@@ -159,17 +171,21 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
 
     def brute(batches):
         # k rows for each query and task
-        best: dict[int, list] = {qid: [] for qid, _ in probe.value}
+        if not probe.value:
+            return
+        qi, q = np.array([x[0] for x in probe.value]), np.stack([x[1] for x in probe.value])
+        best = pd.DataFrame({"at": [], "score": [], "vec_id": [], "leaf": []})
         for pdf in batches:
-            for leaf, ids, vs in zip(pdf["leaf"], pdf["ids"], pdf["vs"], strict=True):
-                ci, cv = arrays(ids, vs)
-                for qid, q in probe.value:
-                    at = np.flatnonzero(ci != qid)
-                    d = _exact(q, cv[at])
-                    near = _nearest(d, ci[at], k)
-                    best[qid] = sorted(best[qid] + [(d[j], ci[at[j]], leaf) for j in near])[:k]
-        rows = [(qid, *b) for qid, some in best.items() for b in some]
-        yield pd.DataFrame(rows, columns=["query_id", "score", "vec_id", "leaf"])
+            for i in range(0, len(pdf), 16):
+                part = pdf.iloc[i : i + 16]
+                ids, vs = zip(*[arrays(*x) for x in zip(part["ids"], part["vs"], strict=True)], strict=True)
+                leaf, ci = np.repeat(part["leaf"].to_numpy(), [len(x) for x in ids]), np.concatenate(ids)
+                a, b, d = _nearest(qi, q, ci, np.concatenate(vs), k)
+                found = pd.DataFrame({"at": a, "score": d, "vec_id": ci[b], "leaf": leaf[b]})
+                both = pd.concat([best, found]) if len(best) else found
+                best = both.sort_values(["at", "score", "vec_id"]).groupby("at").head(k)
+        if len(best):
+            yield best.assign(query_id=qi[best["at"]])[["query_id", "score", "vec_id", "leaf"]]
 
     first = Window.partitionBy("query_id").orderBy("score", "vec_id")
     true = blocks.mapInPandas(brute, "query_id bigint, score double, vec_id bigint, leaf int").withColumn("place", F.row_number().over(first)).where(
@@ -183,21 +199,21 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
 
     def walks(batches):
         for pdf in batches:
-            for qid, v in zip(pdf["id"], pdf["v"], strict=True):
-                q = np.array(v, float)
-                yield pd.DataFrame({"leaf": np.array(held.value.visits(q, least), "int32"), "query_id": qid, "q": q.tobytes()})
+            for i in range(0, len(pdf), 16):
+                part = pdf.iloc[i : i + 16]
+                vs = [np.array(v, float) for v in part["v"]]
+                seen = [held.value.visits(q, least) for q in vs]
+                times = [len(x) for x in seen]
+                yield pd.DataFrame({"leaf": np.concatenate(seen).astype("int32"), "query_id": np.repeat(part["id"].to_numpy(), times),
+                                    "q": [b for q, n in zip(vs, times, strict=True) for b in [q.tobytes()] * n]})
 
     def opened(batches):
         for pdf in batches:
             for row in pdf.itertuples():
                 ci, cv = arrays(row.ids, row.vs)
-                out = []
-                for qid, q in zip(np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.qs, np.float64).reshape(-1, cv.shape[1]), strict=True):
-                    at = np.flatnonzero(ci != qid)
-                    d = _exact(q, cv[at])
-                    near = _nearest(d, ci[at], k)
-                    out.append(pd.DataFrame({"query_id": qid, "vec_id": ci[at][near], "score": d[near]}))
-                yield pd.concat(out)
+                qi, q = arrays(row.q_ids, row.qs)
+                a, b, d = _nearest(qi, q, ci, cv, k)
+                yield pd.DataFrame({"query_id": qi[a], "vec_id": ci[b], "score": d})
 
     def grouped(pdf):
         return pd.DataFrame({"leaf": [pdf["leaf"].iloc[0]], "q_ids": [pdf["query_id"].to_numpy("int64").tobytes()], "qs": [b"".join(pdf["q"])]})
