@@ -125,10 +125,10 @@ def w08(spark, sf_dir):
 
 
 @register("a29_matrix_gaps", duck("""
-SELECT i.problem_instance, c.candidate_name FROM (SELECT DISTINCT problem_instance FROM eligible WHERE repetition = 0) i, (VALUES ('cpu-16'), ('gpu-1')) c(candidate_name)
-WHERE NOT EXISTS (SELECT 1 FROM eligible e WHERE repetition = 0 AND e.problem_instance = i.problem_instance AND e.candidate_name = c.candidate_name)""", GROUPS))
+SELECT i.problem_instance, i.repetition, c.candidate_name FROM (SELECT DISTINCT problem_instance, repetition FROM eligible) i, (VALUES ('cpu-16'), ('gpu-1')) c(candidate_name)
+WHERE NOT EXISTS (SELECT 1 FROM eligible e WHERE e.problem_instance = i.problem_instance AND e.repetition = i.repetition AND e.candidate_name = c.candidate_name)""", GROUPS))
 def a29(spark, sf_dir):
-    return grid.matrix_gaps(eligible_runs(spark, sf_dir).where("repetition = 0"), ["problem_instance"], "candidate_name", ("cpu-16", "gpu-1"))
+    return grid.matrix_gaps(eligible_runs(spark, sf_dir), ["problem_instance", "repetition"], "candidate_name", ("cpu-16", "gpu-1"))
 
 
 @register("f23_plan_constraints", duck("""
@@ -477,13 +477,13 @@ def u02(spark, sf_dir):
         df.where("repetition = 0 AND backend = 'cpu' AND samples < 20"), df.where("backend = 'gpu' AND samples < 8"), ["problem_instance"])
 
 
-SPLIT = """, split AS (SELECT family_id AS fold_id, problem_instance, CASE WHEN samples = 2 THEN 'test' ELSE 'train' END AS role FROM runs WHERE samples < 12)"""
+SPLIT = """, split AS (SELECT family_id AS fold_id, problem_instance, CASE WHEN samples = 2 THEN 'test' ELSE 'train' END AS role FROM runs)"""
 
 
 @register("u03_leakage", duck("""
 SELECT fold_id, problem_instance FROM split WHERE role = 'train' INTERSECT SELECT fold_id, problem_instance FROM split WHERE role = 'test'""", DUCK_RUNS + SPLIT))
 def u03(spark, sf_dir):
-    split = runs(spark, sf_dir).where("samples < 12").selectExpr(
+    split = runs(spark, sf_dir).selectExpr(
         "family_id AS fold_id", "problem_instance", "CASE WHEN samples = 2 THEN 'test' ELSE 'train' END AS role")
     return audit.leakage(split, "problem_instance")
 

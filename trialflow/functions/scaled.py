@@ -19,8 +19,15 @@ HOT_ROWS = 1_000_000
 
 
 def value_bucket(value: Column, steps: int = 4096) -> Column:
-    """Monotone bucket of a number, ``steps`` per factor e of ``1 + |value|``."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * F.lit(float(steps)))).cast("bigint")
+    """Monotone bucket of a number, ``steps`` per factor e of ``1 + |value|``.
+
+    Infinities have the outermost buckets and NaN, which sorts above them, one of its own.
+    """
+    last = (1 << 62)
+    number = value.cast("double")
+    finite = (F.signum(value) * F.floor(F.log1p(F.abs(value)) * F.lit(float(steps)))).cast("bigint")
+    return (F.when(F.isnan(number), F.lit(last + 1)).when(number == float("inf"), F.lit(last))
+            .when(number == float("-inf"), F.lit(-last)).otherwise(finite))
 
 
 def prefix_bucket(value: Column, length: int) -> Column:
@@ -140,7 +147,9 @@ def select_by_rank(
     )
     per_prob = picked.groupBy(*by, "_i").agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_pos").alias("_pos"),
-    ).withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos")))
+    ).withColumn("_q", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
+        # the form of ``percentile``, so both paths give the same bits
+        (F.ceil("_pos") - F.col("_pos")) * F.col("_lo") + (F.col("_pos") - F.floor("_pos")) * F.col("_hi")))
     return per_prob.groupBy(*keys).agg(*[
         F.max(F.when((F.col("_m") == m) & (F.col("_i") == i), F.col("_q"))).alias(f"{v}_p{i}")
         for m, v in enumerate(values) for i in range(len(probs))

@@ -34,7 +34,9 @@ def needs(name: str, holds: Column) -> Rule:
 
 def reasons(rules: Sequence[Rule], ordered: bool = False) -> Column:
     """Array of the names of the failed rules, in rule order or sorted."""
-    names = F.array_compact(F.array(*[r.column() for r in rules]))
+    # text joined and cut again stays in generated code; a filter over an array would not
+    joined = F.concat_ws("\u0001", *[r.column() for r in rules])
+    names = F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\u0001"))
     return F.array_sort(names) if ordered else names
 
 
