@@ -214,6 +214,33 @@ def test_lattice_sums_all_segmentations():
     assert lattice.log10_of([long], pieces)[0] == pytest.approx(lattice._one_forward("▁" + long, pieces) / math.log(10))
 
 
+def test_lattice_learns_from_long_words(spark):
+    names, logp = lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = lattice.Pieces(names, logp)
+    word = "thequickbrownﬁsh" + "日本語の文章" * 8
+    got = lattice.expected([word], np.array([3.0]), pieces)
+
+    def total(i, step):
+        moved = logp.copy()
+        moved[i] += step
+        return lattice._one_forward("▁" + word, lattice.Pieces(names, moved))
+
+    # the expected uses are the gradient of the log probability
+    used = np.argsort(-got)[:12]
+    assert [got[i] for i in used] == pytest.approx([3 * (total(i, 1e-4) - total(i, -1e-4)) / 2e-4 for i in used], rel=1e-4)
+    assert sum(got[pieces.at[n]] * len(n) for n in names if not n.startswith("<")) + sum(got[b] for b in pieces.byte) / 3 == pytest.approx(3 * (len(word) + 1))
+    # both sides of the length where tables end agree
+    short = "x" * 10 + "日本" * 14
+    by_table, one = lattice.expected([short], np.array([2.0]), pieces), np.zeros(len(names))
+    lattice._one_expected("▁" + short, 2.0, pieces, one)
+    assert by_table == pytest.approx(one)
+    # a table of one long word teaches its pieces: held-out copies score above the first weights
+    docs = table(spark, [(1, word, "s"), (2, word, "s")])
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    taught, first = (lattice.lattice_scores(docs, F.col("doc_id") == 1, path, rounds=r).where("doc_id = 2").first()["score"] for r in (2, 0))
+    assert taught > first / 2
+
+
 def test_lattice_base_score_equals_brute_force(spark, tables, odd, empty):
     rows = registered.op8_lattice_likelihood(spark, FOLDER).collect()
     texts = {r["doc_id"]: lowered(r["text"]) for r in tables["documents"].collect()}

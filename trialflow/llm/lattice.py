@@ -28,7 +28,7 @@ SPACE = "▁"
 #: bytes of text in a block, one document at least
 BLOCK_BYTES = 16 << 20
 _CHUNK = 20_000
-#: words up to this many characters are scored in tables, longer ones one by one
+#: words up to this many characters with their mark are read in tables, longer ones one by one
 _TABLE = 40
 
 
@@ -123,20 +123,41 @@ def _forward(table, n: int) -> list[np.ndarray]:
     return alpha
 
 
-def _one_forward(word: str, pieces: Pieces) -> float:
-    """The forward recursion for one word of any length."""
+def _ending(word: str, end: int, pieces: Pieces):
+    """Pieces of one word that end at ``end``: start, piece ids, log weight."""
+    for start in range(max(0, end - pieces.longest), end):
+        i = pieces.at.get(word[start:end], -1)
+        if i >= 0:
+            yield start, (i,), pieces.logp[i]
+    if word[end - 1] not in pieces.at:
+        ids = pieces.fallback(word[end - 1])
+        yield end - 1, ids, sum(pieces.logp[i] for i in ids)
+
+
+def _one_alpha(word: str, pieces: Pieces) -> np.ndarray:
     alpha = np.full(len(word) + 1, -np.inf)
     alpha[0] = 0
     for end in range(1, len(word) + 1):
-        terms = []
-        for start in range(max(0, end - pieces.longest), end):
-            i = pieces.at.get(word[start:end], -1)
-            if i >= 0:
-                terms.append(alpha[start] + pieces.logp[i])
-        if word[end - 1] not in pieces.at:
-            terms.append(alpha[end - 1] + sum(pieces.logp[i] for i in pieces.fallback(word[end - 1])))
-        alpha[end] = np.logaddexp.reduce(terms)
-    return float(alpha[-1])
+        alpha[end] = np.logaddexp.reduce([alpha[start] + weight for start, _, weight in _ending(word, end, pieces)])
+    return alpha
+
+
+def _one_forward(word: str, pieces: Pieces) -> float:
+    """The forward recursion for one word of any length."""
+    return float(_one_alpha(word, pieces)[-1])
+
+
+def _one_expected(word: str, count: float, pieces: Pieces, out: np.ndarray) -> None:
+    """Add the expected uses of each piece over one word of any length, by forward-backward."""
+    alpha = _one_alpha(word, pieces)
+    beta = np.full(len(word) + 1, -np.inf)
+    beta[-1] = 0
+    for end in range(len(word), 0, -1):
+        for start, ids, weight in _ending(word, end, pieces):
+            use = count * math.exp(alpha[start] + weight + beta[end] - alpha[-1])
+            for i in ids:
+                out[i] += use
+            beta[start] = np.logaddexp(beta[start], beta[end] + weight)
 
 
 def _by_length(some: list[str]):
@@ -165,7 +186,9 @@ def expected(some: list[str], counts: np.ndarray, pieces: Pieces) -> np.ndarray:
     marked, out = [SPACE + w for w in some], np.zeros(len(pieces.names))
     for size, at in _by_length(marked):
         if size > _TABLE:
-            continue  # urls and the like say nothing about pieces of words
+            for i in at:
+                _one_expected(marked[i], counts[i], pieces, out)
+            continue
         part, c = [marked[i] for i in at], counts[at]
         codes, table = _tables(part, pieces)
         alpha = _forward(table, len(at))
@@ -247,8 +270,7 @@ def lattice_scores(docs: DataFrame, learns, path: str, rounds: int = 2) -> DataF
     learns, n_tokens and n_known (words and one end), train_tokens, base_score and score. Null and
     empty texts are one end. Without any training row the first weights of the vocabulary
     hold and the base score is that of an empty count. Repeated rows count each; other
-    columns are ignored. Words of more than 40 characters are scored but do not move the
-    weights of pieces.
+    columns are ignored. Words of every length are scored and move the weights of pieces.
     """
     spark = docs.sparkSession
     names, logp = vocabulary(path)
