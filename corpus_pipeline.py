@@ -37,10 +37,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids and decoded of each document."""
+    """doc_id, source, mix_position, n_tokens, ids and decoded of each document.
+
+    Files that are read again promise no order, so the place in the mix is a column. Rows
+    and seed determine it: it is the one that ``mix_sources`` laid the rows out by.
+    """
     table(spark, sf_dir, "documents")
-    out = bpe.encoded(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return out.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids", "decoded")
+    placed = mixing.mixed(docs.select("doc_id", "source", "text")).select("doc_id", "source", "mix_position", "text")
+    out = bpe.encoded(placed, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "source", "mix_position", F.size("ids").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", keep_good), ("near_duplicates", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
