@@ -305,3 +305,17 @@ def test_license_scan(spark, odd, empty, tables):
     known = licenses.paragraphs(tables["documents"]).where("line rlike 'icense'").collect()
     assert {(r["doc_id"], r["paragraph"]) for r in known} <= seen
     assert licenses.license_paragraphs(odd, model).count() == 0 and licenses.license_paragraphs(empty, model).count() == 0
+
+
+def test_license_of_wrapped_lines(spark, tables):
+    model = licenses.fit(tables["documents"])
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met"
+    gpl = "# This file comes under the GNU General Public\n# License, version 3\n#\n# Another paragraph of the head"
+    docs = table(spark, [(1, "first words\n\n" + bsd + "\n\nlast words", "s"), (2, gpl, "s"), (3, "a line\nand one more\n\nand a last one", "s")])
+    got = {(r["doc_id"], r["paragraph"], r["lines"]): (r["family"], r["confirmed"]) for r in licenses.license_paragraphs(docs, model).collect()}
+    assert got[1, 2, 3] == ("bsd", True) and got[2, 0, 2] == ("gpl-3.0", True)
+    assert not any(k[0] == 3 for k in got)
+    runs = licenses.passages(docs.select("doc_id", "text")).collect()
+    assert {(r["doc_id"], r["paragraph"], r["lines"]) for r in runs} == {(1, 2, 3), (2, 0, 2), (3, 0, 2)}
+    long = spark.range(1).select(F.concat(F.repeat(F.lit("a "), (1 << 20) + 5), F.lit("mit license")).alias("t"))
+    assert long.select(F.array_contains(licenses.terms(F.col("t")), "mit license")).first()[0]

@@ -1,6 +1,6 @@
 """License scan: a trained paragraph classifier, in DataFrame functions and Spark ML only.
 
-Paragraphs (lines) are classified by a multinomial logistic regression over word uni- and
+Paragraphs (lines, and wrapped lines joined up to a blank one) are classified by a multinomial logistic regression over word uni- and
 bigrams whose weights the L1 penalty keeps sparse. It learns families from templates and
 ordinary paragraphs of the corpus, a temperature is calibrated on paragraphs it has not
 seen, and an unsure family counts as unknown. A comparison with the family's templates
@@ -46,7 +46,12 @@ OTHER = ["the driver has a license plate", "a licensed driver", "you must licens
 # Stop words.
 STOP = ["and", "any", "are", "but", "for", "from", "has", "have", "into", "not", "that", "the", "this", "was", "with", "you", "your"]
 
-#: most ordinary paragraphs a fit learns from, and terms it knows
+# Wording of notices; what holds it is no ordinary paragraph.
+NOTICE = r"under the|under a|under an|(licen[sc]ed|released|distributed|published|available) under|spdx|rights reserved|hereby|licen[sc]e:|copyright (\(c\)|©|\d)"
+# Words of licences that ordinary paragraphs may hold.
+TELLING = "licen|copyright|gnu|spdx|rights reserved|creative commons|cc by|cc0|permission"
+
+#: most ordinary paragraphs a fit learns from, as many that hold words of licences, and terms it knows
 SAMPLE, TERMS = 2000, 4096
 SURE, CONFIRMED = 0.5, 0.6
 
@@ -59,7 +64,7 @@ def terms(column: Column) -> Column:
     """Distinct words that are not stop words, and pairs of neighbouring words."""
     w = words(column)
     telling = F.filter(w, lambda x: (F.length(x) > 2) & ~x.isin(*STOP))
-    pairs = F.transform(F.slice(F.arrays_zip(w.alias("a"), F.slice(w, 2, 1 << 20).alias("b")), 1, 1 << 20), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+    pairs = F.transform(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(0))).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"]))
     return F.array_distinct(F.concat(telling, F.filter(pairs, lambda p: p.contains(" "))))
 
 
@@ -68,6 +73,32 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("paragraph", "line"))
 
 
+def passages(docs: DataFrame) -> DataFrame:
+    """doc_id, paragraph, lines, line: runs of more than one line up to a blank one, joined.
+
+    ``paragraph`` is the number of the first line. A line without letters and digits, such
+    as the bare comment mark between paragraphs of a file header, is blank.
+    """
+    rows = docs.select(*docs.columns, F.split(F.col("text").cast("string"), "\n").alias("p_all"))
+    rows = rows.withColumn("p_full", F.transform("p_all", lambda x: x.rlike(r"[\p{L}\p{N}]")))
+    at = F.sequence(F.lit(1), F.size("p_all"))
+
+    def full(i):
+        return F.coalesce(F.get("p_full", i - 1), F.lit(False))
+
+    first, last = F.filter(at, lambda i: full(i) & ~full(i - 1)), F.filter(at, lambda i: full(i) & ~full(i + 1))
+    rows = rows.where("p_all IS NOT NULL").withColumn("p_run", F.explode(F.arrays_zip(first.alias("first"), last.alias("last")))).where("p_run.last > p_run.first")
+    size = F.col("p_run.last") - F.col("p_run.first") + 1
+    return rows.select(*docs.columns, (F.col("p_run.first") - 1).alias("paragraph"), size.alias("lines"), F.array_join(F.slice("p_all", F.col("p_run.first"), size), " ").alias("line")).drop("text")
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """Lines and passages of ``docs`` (doc_id, text) with ``of_text``, by which they belong together."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("of_text"))
+    lines = docs.select("doc_id", "of_text", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    return lines.select("doc_id", "of_text", "paragraph", F.lit(1).alias("lines"), "line").unionByName(passages(docs))
+
+
 def _adding(weights: Column):
     return lambda s, t: s + F.coalesce(F.try_element_at(weights, t), F.lit(0.0))
 
@@ -105,17 +136,21 @@ def _examples(spark: SparkSession, docs: DataFrame, most: int) -> DataFrame:
     rows = [(n + t + end, k, i % 4 == 3) for k, texts in FAMILIES.items() for t in texts for i, (n, end) in enumerate([(n, e) for n in NOTICES for e in ("", ".")])]
     rows += [(x + e, "none", i % 4 == 3) for i, (x, e) in enumerate([(x, e) for x in OTHER for e in ("", ".", " and so on")])]
     known = spark.createDataFrame(rows, "line string, family string, held boolean")
-    plain = paragraphs(docs).where(~F.lower("line").rlike("licen|copyright|gnu|spdx|rights reserved|creative commons|cc by|cc0|permission"))
-    plain = plain.where(F.length("line") > 0).select(F.substring("line", 1, 4000).alias("line"), F.xxhash64(F.lit(5), "line").alias("h"))
-    plain = plain.orderBy("h", "line").limit(most).select("line", F.lit("none").alias("family"), (F.pmod("h", F.lit(4)) == 3).alias("held"))
+    every = candidates(docs).where(F.length("line") > 0).select("line", F.xxhash64(F.lit(5), "line").alias("h"))
+    telling, low = F.lower("line").rlike(TELLING), F.lower("line")
+    mine = F.array_distinct(words(F.col("line")))
+    like = F.greatest(*[F.size(F.array_intersect(own, mine)) / F.size(own) for own in (F.array_distinct(words(F.lit(t))) for texts in FAMILIES.values() for t in texts)])
+    near = every.where(telling & ~low.rlike(NOTICE)).where(like < SURE).orderBy("h", "line").limit(most)
+    plain = every.where(~telling).orderBy("h", "line").limit(most).unionByName(near)
+    plain = plain.select("line", F.lit("none").alias("family"), (F.pmod("h", F.lit(4)) == 3).alias("held"))
     return known.unionByName(plain)
 
 
 def fit(docs: DataFrame, most: int = SAMPLE) -> Classifier:
     """Learn from templates and up to ``most`` ordinary paragraphs of the documents.
 
-    The examples are bounded, so they are one partition; they may be cut to 4,000
-    characters, the paragraphs that are scored never are.
+    As many again hold words of licences, but neither a notice's wording nor half of a
+    template's words. The examples are bounded in number, so they are one partition.
     """
     spark = docs.sparkSession
     names = ["none", *FAMILIES]
@@ -139,7 +174,12 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> Classifier:
 
 
 def license_paragraphs(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, paragraph, family, probability, similarity and confirmed of each licence paragraph.
+    """doc_id, paragraph, family, probability, similarity, confirmed and lines of each licence paragraph.
+
+    Every line is read by itself, and wrapped lines up to a blank one also as one
+    paragraph of so many ``lines`` that has the number of its first line. The latter is
+    left out if one of its lines is reported for the same family with no less similarity,
+    and, without a sure family, if any of its lines is reported.
 
     A paragraph is reported unless "none" is its likeliest class with at least ``SURE``;
     its family is the likeliest one, or "unknown" below ``SURE``. ``similarity`` is the
@@ -159,18 +199,23 @@ def license_paragraphs(docs: DataFrame, model: Classifier) -> DataFrame:
             hit = hit | (low.contains(a) & low.contains(b))
         return hit
 
-    rows = paragraphs(docs.where(touched(F.col("text").cast("string")))).where(touched(F.col("line")))
+    rows = candidates(docs.where(touched(F.col("text").cast("string")))).where(touched(F.col("line")))
     rows = rows.withColumn("terms", terms(F.col("line"))).where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in used])))
     # few rows are left; written tables keep the long expressions apart
     rows = materialized(materialized(rows).withColumn("z", model.logits(F.col("terms"))).drop("terms"))
     rows = materialized(rows.withColumn("p", softmax(F.col("z"), model.temperature)).drop("z"))
     top = F.array_max("p")
     name = F.element_at(F.array(*[F.lit(n) for n in model.names]), F.array_position("p", top).cast("int"))
-    rows = rows.select("doc_id", "paragraph", "line", name.alias("likeliest"), top.alias("probability"))
+    rows = rows.select("doc_id", "of_text", "paragraph", "lines", "line", name.alias("likeliest"), top.alias("probability"))
     rows = rows.where(~((F.col("likeliest") == "none") & (F.col("probability") >= SURE)))
     mine = F.array_distinct(words(F.col("line")))
     held = [(family, F.array_distinct(words(F.lit(text)))) for family, texts in FAMILIES.items() for text in texts]
     shares = F.greatest(*[F.when(F.col("likeliest") == family, F.size(F.array_intersect(own, mine)) / F.size(own)).otherwise(0.0) for family, own in held])
     family = F.when((F.col("probability") >= SURE) & (F.col("likeliest") != "none"), F.col("likeliest")).otherwise("unknown")
-    return rows.select("doc_id", "paragraph", family.alias("family"), F.round("probability", 6).alias("probability"), F.round(shares, 6).alias("similarity")).withColumn(
-        "confirmed", (F.col("similarity") >= CONFIRMED) & (F.col("family") != "unknown"))
+    rows = materialized(rows.select("doc_id", "of_text", "paragraph", "lines", family.alias("family"), F.round("probability", 6).alias("probability"), F.round(shares, 6).alias("similarity")))
+    x, y = rows.alias("x"), rows.where("lines = 1").alias("y")
+    inside = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.of_text") == F.col("y.of_text")) & (F.col("x.lines") > 1)
+    inside &= F.col("y.paragraph").between(F.col("x.paragraph"), F.col("x.paragraph") + F.col("x.lines") - 1)
+    says = (F.col("x.family") == "unknown") | ((F.col("x.family") == F.col("y.family")) & (F.col("y.similarity") >= F.col("x.similarity")))
+    rows = x.join(y, inside & says, "left_anti")
+    return rows.select("doc_id", "paragraph", "family", "probability", "similarity", ((F.col("similarity") >= CONFIRMED) & (F.col("family") != "unknown")).alias("confirmed"), "lines")
