@@ -54,3 +54,30 @@ def test_stream_peaks_equal_the_batch(spark, tmp_path):
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, ingest.window_peaks(rows).collect()))
     sessions = ingest.trial_sessions(rows).collect()
     assert sorted(r["samples"] for r in sessions) == [1, 2]
+
+
+def test_a_very_late_record_is_kept(spark, tmp_path):
+    base = str(tmp_path)
+    for rows in ([("a", 0, 1.0)], [("b", 9_000_000, 2.0)], [("c", 9_100_000, 3.0), ("z", 5, -1.0)], [("late", 10, 4.0), ("a", 0, 1.0), ("z", 5, -1.0)]):
+        put(spark, f"{base}/in", rows)
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    query = ingest.ingest_stream(
+        source, f"{base}/rows", f"{base}/checkpoint", watermark="1 hour", rules=[needs("negative", F.col("v") >= 0)], violations=f"{base}/bad")
+    query.awaitTermination()
+    stored = spark.read.parquet(f"{base}/rows")
+    assert sorted(r["trial_id"] for r in stored.collect()) == ["a", "b", "c", "late"]
+    assert stored.select(ingest.BATCH).distinct().count() == 4
+    assert [r["trial_id"] for r in spark.read.parquet(f"{base}/bad").collect()] == ["z"]
+
+
+def test_very_late_samples_reach_their_windows(spark, tmp_path):
+    schema = "trial_id string, ts timestamp, host_rss_mib double, gpu_memory_mib double"
+    for rows in ([("t", 10, 1.0, 2.0)], [("t", 9_000_000, 3.0, None)], [("t", 9_100_000, 2.0, 1.0)], [("t", 20, 9.0, None), ("u", 30, 5.0, 6.0), (None, 40, 1.0, 1.0)], [(None, 50, 2.0, None)]):
+        df = spark.createDataFrame(rows, "trial_id string, s long, host_rss_mib double, gpu_memory_mib double")
+        df.select("trial_id", F.timestamp_seconds("s").alias("ts"), "host_rss_mib", "gpu_memory_mib").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    ingest.stream_peaks(source, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    live = ingest.latest_peaks(spark.read.parquet(f"{tmp_path}/out"))
+    want = ingest.window_peaks(spark.read.parquet(f"{tmp_path}/in"))
+    assert sorted(map(str, live.collect())) == sorted(map(str, want.collect()))
+    assert live.where("trial_id = 't'").agg(F.sum("samples")).first()[0] == 4

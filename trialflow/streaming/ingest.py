@@ -27,21 +27,23 @@ def append_new(
     """``foreachBatch`` body: append sound rows whose key is not stored yet.
 
     Each batch owns one partition folder and overwrites it, so a batch that is retried
-    after a failure leaves the same rows: exactly once by id. Duplicates inside the
-    watermark are dropped by the stream's state, older ones by the anti-join here.
+    after a failure leaves the same rows: exactly once by id. Copies in the batch and in
+    the stored table are dropped here, however far apart they arrive.
     """
 
+    def add(rows: DataFrame, path: str, keys: list[str], number: int) -> None:
+        rows = rows.dropDuplicates(keys)
+        known = _stored(rows.sparkSession, path, rows.withColumn(BATCH, F.lit(0).cast("bigint")).schema)
+        if known is not None:
+            old = known.where(F.col(BATCH) != number).select(*[F.col(k).alias(f"old_{k}") for k in keys])
+            rows = rows.join(old, [F.col(k).eqNullSafe(F.col(f"old_{k}")) for k in keys], "left_anti")
+        rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         good, bad = split(batch, rules, [key]) if rules else (batch, None)
-        schema = good.withColumn(BATCH, F.lit(0).cast("bigint")).schema
-        known = _stored(spark, table, schema)
-        fresh = good
-        if known is not None:
-            fresh = good.join(known.where(F.col(BATCH) != number).select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table}/{BATCH}={number}")
+        add(good, table, [key], number)
         if bad is not None and violations is not None:
-            bad.write.mode("overwrite").parquet(f"{violations}/{BATCH}={number}")
+            add(bad, violations, [key, "rule"], number)
 
     return write
 
@@ -57,11 +59,14 @@ def ingest_stream(
     violations: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Start the exactly-once-by-id ingest of a record stream into a Parquet table."""
+    """Start the exactly-once-by-id ingest of a record stream into a Parquet table.
+
+    The stored table knows the ids, so the stream holds no state: the watermark only shows
+    in its progress, and no record is too late.
+    """
     timed = source.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    unique = timed.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
     writer = (
-        unique.writeStream.foreachBatch(append_new(table, key, rules, violations))
+        timed.withWatermark(event_time, watermark).writeStream.foreachBatch(append_new(table, key, rules, violations))
         .option("checkpointLocation", checkpoint)
     )
     writer = writer.trigger(availableNow=True) if available_now else writer
@@ -76,11 +81,14 @@ def ingest_batch(rows: DataFrame, key: str = "trial_id", rules: Sequence[Rule] =
 
 def window_peaks(
     samples: DataFrame, by: str = "trial_id", event_time: str = "ts",
-    watermark: str = "10 minutes", width: str = "1 hour",
+    watermark: str | None = None, width: str = "1 hour",
 ) -> DataFrame:
-    """Peaks per trial and event-time window; works on a stream and on a table."""
+    """Peaks per trial and event-time window; works on a stream and on a table.
+
+    Only with a ``watermark`` does a stream free its state, and drop what is later.
+    """
     timed = samples.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    if samples.isStreaming:
+    if samples.isStreaming and watermark is not None:
         timed = timed.withWatermark(event_time, watermark)
     grouped = timed.groupBy(by, F.window(event_time, width).alias("w")).agg(
         F.count(F.lit(1)).alias("samples"),
@@ -108,9 +116,19 @@ def trial_sessions(
     )
 
 
-def _keep_batches(table: str) -> Callable[[DataFrame, int], None]:
+def _merge_windows(table: str, width: str, by: str = "trial_id") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: the new state of every window that the batch has samples of."""
+
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/{BATCH}={number}")
+        fresh = window_peaks(batch, by, width=width)
+        known = _stored(batch.sparkSession, table, fresh.withColumn(BATCH, F.lit(0).cast("bigint")).schema)
+        if known is not None:
+            old = latest_peaks(known.where(F.col(BATCH) != number), by).alias("old")
+            same = [F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in (by, "window_start")]
+            fresh = fresh.alias("new").join(old, same, "left").select(
+                f"new.{by}", "new.window_start", (F.col("new.samples") + F.coalesce("old.samples", F.lit(0))).alias("samples"),
+                *[F.greatest(f"new.{c}", f"old.{c}").alias(c) for c in ("peak_host_rss_mib", "peak_gpu_memory_mib")])
+        fresh.write.mode("overwrite").parquet(f"{table}/{BATCH}={number}")
 
     return write
 
@@ -119,12 +137,13 @@ def stream_peaks(
     samples: DataFrame, table: str, checkpoint: str, watermark: str = "10 minutes",
     width: str = "1 hour", available_now: bool = True,
 ) -> StreamingQuery:
-    """Keep updated window peaks in ``table``; read them with :func:`latest_peaks`."""
-    writer = (
-        window_peaks(samples, watermark=watermark, width=width)
-        .writeStream.outputMode("update").foreachBatch(_keep_batches(table))
-        .option("checkpointLocation", checkpoint)
-    )
+    """Keep updated window peaks in ``table``; read them with :func:`latest_peaks`.
+
+    Each batch is merged into the stored windows, so the stream holds no state: the
+    watermark only shows in its progress, and no sample is too late.
+    """
+    timed = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    writer = timed.writeStream.foreachBatch(_merge_windows(table, width)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
 
