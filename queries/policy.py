@@ -303,11 +303,10 @@ FEATURE_SETS = {"size_only": P.SIZE_FEATURES, "full": P.FULL_FEATURES}
 
 
 def grouped_models(spark, sf_dir, deployment=False):
-    """Trees of five leave-one-group-out folds (families by number modulo five)."""
-    df = modelled(spark, sf_dir).withColumn("fold", F.concat(
-        F.lit("grp-"), (F.split("family_id", "-")[1].cast("int") % 5).cast("string")))
-    df = materialized(df)
-    models = trees.fit_trees(df, [f"grp-{i}" for i in range(5)], FEATURE_SETS, "fold", deployment=deployment)
+    """Trees of one leave-one-family-out fold per family."""
+    df = materialized(modelled(spark, sf_dir).withColumn("fold", F.col("family_id")))
+    folds = sorted(r[0] for r in df.where("fold IS NOT NULL").select("fold").distinct().collect())
+    models = trees.fit_trees(df, folds, FEATURE_SETS, "fold", deployment=deployment)
     return df, models
 
 
@@ -333,7 +332,7 @@ def m12(spark, sf_dir):
 
 @register("m11_fold_evaluation")
 def m11(spark, sf_dir):
-    """All six policies over leave-one-group-out folds, pooled and per group."""
+    """All six policies over leave-one-family-out folds, pooled and per family."""
     df, models = grouped_models(spark, sf_dir)
     wide = materialized(P.pairs(df, ("n_configurations", "fold")))
     thresholds = P.fit_thresholds(P.family_curves(wide.withColumn("family_id", F.col("fold")))).select(

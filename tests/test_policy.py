@@ -198,3 +198,13 @@ def test_infeasible_candidates_never_win(spark):
         "family_id string, problem_instance string, candidate_name string, p double, ok boolean")
     got = {r["problem_instance"]: (r["selected_candidate_name"], r["invalid_reason"]) for r in trees.select_by_tree(df, F.col("p"), F.col("ok")).collect()}
     assert got == {"a": ("cpu-16", None), "b": (None, "no_feasible_candidates"), "c": ("cpu-16", None)}
+
+
+def test_every_family_is_a_fold(spark):
+    from queries import policy
+
+    folder = "/root/testdata/sf0.001"
+    families = {r[0] for r in policy.modelled(spark, folder).select("family_id").distinct().collect()}
+    found = policy.m03(spark, folder).collect()
+    assert len(families) > 5
+    assert {(r["fold_id"], r["feature_set"]) for r in found} == {(f, s) for f in families for s in policy.FEATURE_SETS}
