@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialflow.llm import ann, bpe, lattice, licenses, mixing, near_dups, quality, shards, topk, toxicity
+from trialflow.llm import ann, bpe, collocations, lattice, licenses, mixing, near_dups, quality, shards, topk, toxicity
 from trialflow.llm.text import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,26 @@ def op10_shards(spark, sf_dir):
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"),
         F.col("shard_id").alias("shard"), "slot", F.col("grown_shard_id").alias("grown_shard"))
+
+
+@_register(r"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs),
+words AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase
+          FROM words, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 30),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, CAST((2000000::HUGEINT * c.a) // (x.a::HUGEINT + y.a) AS BIGINT) AS score
+         FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+         JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 :], ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_of AS (SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS b
+             FROM (SELECT *, unnest(range(1, size - s + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS s FROM c)) GROUP BY ALL),
+ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, encode(s.phrase)) AS rank
+           FROM scored s LEFT JOIN inner_of i ON i.lang = s.lang AND i.phrase = s.phrase WHERE i.b IS NULL OR 100::HUGEINT * i.b < 80::HUGEINT * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+""")
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
