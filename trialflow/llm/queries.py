@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialflow.llm import ann, bpe, collocations, lattice, licenses, mixing, near_dups, quality, shards, topk, toxicity
+from trialflow.llm import ann, bpe, collocations, conversation_repair, lattice, licenses, mixing, near_dups, quality, shards, token_store, topk, toxicity
 from trialflow.llm.text import remainder
+from trialflow.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +145,55 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHE
 """)
 def op11_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@_register(r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+keyed AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS b FROM conversations),
+fated AS (SELECT conv_id, turn, role, text, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS fate FROM keyed, tab),
+hurt AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, unnest(range(CASE fate WHEN 3 THEN 2 ELSE 1 END)) AS copy,
+                CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM fated WHERE fate <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), sha256(strlen(role) || ':' || role || text)) AS i FROM hurt),
+judged AS (SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS init, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev,
+                  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                       WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$', 's') THEN 't' ELSE '' END AS fault FROM placed),
+counted AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate,
+                   count_if(fault = 't') AS truncated, count_if(prev IS NOT NULL AND prev || init NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+-- cheapest rest and its letters from each state before row i; a state's own insertion leads to the state after it
+walk AS (
+  SELECT conv_id, n AS i, [{'c': 0, 'l': ''}, {'c': 10, 'l': 'II'}, {'c': 5, 'l': 'I'}, {'c': 0, 'l': ''}] AS s FROM counted
+  UNION ALL
+  SELECT conv_id, i, [least(x[1], {'c': x[3].c + 5, 'l': 'I' || x[3].l}, {'c': x[4].c + 10, 'l': 'II' || x[4].l}),
+                      least(x[2], {'c': x[3].c + 5, 'l': 'I' || x[3].l}, {'c': x[4].c + 10, 'l': 'II' || x[4].l}),
+                      least(x[3], {'c': x[4].c + 5, 'l': 'I' || x[4].l}), least(x[4], {'c': x[3].c + 5, 'l': 'I' || x[3].l})] AS s
+  FROM (SELECT w.conv_id, w.i - 1 AS i, list_transform([1, 2, 3, 4], lambda q: least(
+          {'c': s[q].c + 2, 'l': 'D' || s[q].l},
+          CASE WHEN fault IN ('b', 'd') THEN NULL WHEN init = 's' AND q = 1 THEN {'c': s[2].c + 5 * (fault = 't')::INT, 'l': 'K' || s[2].l}
+               WHEN init = 'u' AND q <> 3 THEN {'c': s[3].c + 5 * (fault = 't')::INT, 'l': 'K' || s[3].l} WHEN init = 'a' AND q = 3 THEN {'c': s[4].c + 5 * (fault = 't')::INT, 'l': 'K' || s[4].l} END,
+          CASE WHEN fault IN ('b', 'd') THEN NULL WHEN q = 3 THEN {'c': s[4].c + 1 + 5 * (fault = 't')::INT, 'l': 'R' || s[4].l} ELSE {'c': s[3].c + 1 + 5 * (fault = 't')::INT, 'l': 'R' || s[3].l} END)) AS x
+        FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i)
+),
+best AS (SELECT conv_id, s[1].c AS cost, s[1].l AS audit FROM walk WHERE i = 0),
+letters AS (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS pos FROM best),
+steps AS (SELECT conv_id, pos, audit[pos : pos] AS e, pos - len(regexp_replace(audit[1 : pos], '[^I]', '', 'g')) AS i, len(regexp_replace(audit[1 : pos], '[D]', '', 'g')) AS made FROM letters),
+heads AS (SELECT s.conv_id, max(e = 'K' AND init = 's') AS sys FROM steps s JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.i = s.i AND e = 'K' GROUP BY s.conv_id),
+turns AS (SELECT s.conv_id, pos, CASE WHEN e = 'K' THEN role WHEN (made - CASE WHEN sys THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line
+          FROM steps s LEFT JOIN heads h ON h.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.i = s.i AND e <> 'I' WHERE e <> 'D'),
+hashed AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY pos)) AS h FROM turns GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN hashed h ON h.conv_id IS NOT DISTINCT FROM a.conv_id
+""")
+def op12_conversation_repair(spark, sf_dir):
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_digests(rows, conversation_repair.audited(rows))
+
+
+@_register()
+def op13_token_store(spark, sf_dir):
+    path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    rows = token_store.read_tokens(spark, path)
+    return rows.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
