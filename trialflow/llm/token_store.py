@@ -296,7 +296,8 @@ def tokens_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     blocks = read_blocks(spark, path)
     cells = blocks.select("file", "block", "start", "n", F.explode(F.sequence(F.floor(F.col("start") / BLOCK_IDS), F.floor((F.col("start") + F.col("n") - 1) / BLOCK_IDS))).alias("cell"))
     wanted = places.select(F.col("place").cast("bigint").alias("place")).where("place IS NOT NULL").distinct().withColumn("cell", F.floor(F.col("place") / BLOCK_IDS))
-    met = wanted.join(cells, "cell").where("place >= start AND place < start + n").select("file", "block", (F.col("place") - F.col("start")).alias("offset"))
+    met = wanted.join(cells, "cell").where("place >= start AND place < start + n").select(
+        F.col("file").alias("of_file"), F.col("block").alias("of_block"), (F.col("place") - F.col("start")).alias("offset"))
 
     def read(block, asked):
         import pandas as pd
@@ -306,5 +307,5 @@ def tokens_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
         ids = Code(block["code"][0]).at(asked["offset"].to_numpy())
         return pd.DataFrame({"place": asked["offset"] + block["start"][0], "id": ids.astype(np.int64)})
 
-    pair = blocks.select("file", "block", "start", "code").groupBy("file", "block").cogroup(met.groupBy("file", "block"))
+    pair = blocks.select("file", "block", "start", "code").groupBy("file", "block").cogroup(met.groupBy("of_file", "of_block"))
     return pair.applyInPandas(read, "place bigint, id bigint")
