@@ -142,17 +142,92 @@ def with_models(spark, sf_dir):
     return df.join(models, "family_id")
 
 
-PREDICTIONS = CURVES + f""", decisions AS (SELECT p.*, policy, CASE policy WHEN 'fixed_cpu' THEN 'cpu-16' WHEN 'fixed_gpu' THEN 'gpu-1' WHEN 'static_size_threshold' THEN {CHOICE}
+FEATURE_SETS = {"size_only": P.SIZE_FEATURES, "full": P.FULL_FEATURES}
+MODELLED_CTE = """, modelled AS (SELECT *, CAST(round(ln(1e0 + median_wall_time_s) * 1e9) AS BIGINT) AS y, CAST(substring(problem_instance, 6) AS BIGINT) AS number,
+ CASE WHEN backend = 'cpu' THEN host_guard_bytes <= host_cap_bytes ELSE gpu_host_guard_bytes <= host_cap_bytes AND gpu_guard_bytes <= gpu_cap_bytes END AS ok FROM balanced),
+featured AS (SELECT *, [ln(1e0 + n_configurations), CASE WHEN backend = 'gpu' THEN 1e0 ELSE 0e0 END, ln(1e0 + n_configurations * 17), ln(1e0 + n_configurations * 80), ln(1e0 + gpu_guard_bytes),
+ (number * 7 % 101) / 101e0, (number * 11 % 101) / 101e0, (number * 15 % 101) / 101e0, (number * 19 % 101) / 101e0, CASE WHEN backend = 'gpu' THEN 1e0 ELSE 16e0 END] AS x FROM modelled)"""
+
+
+def tree_ctes(name, folds, sets, depth, leaf):
+    """Tables ``<name>_nodes`` and ``<name>_best<level>`` of one exact fit for DuckDB: every level of every fold and set."""
+    counts = ", ".join(f"('{k}', {len(v)})" for k, v in sets.items())
+    out = [f"{name}_rows0 AS (SELECT fold_id, feature_set, width, '' AS path, x, y FROM featured JOIN ({folds}) f ON family_id <> fold_id, (VALUES {counts}) v(feature_set, width))"]
+    parts = []
+    for d in range(depth + 1):
+        out.append(f"""{name}_stat{d} AS (SELECT *, s::DOUBLE / n AS mean, greatest(q::DOUBLE / n - (s::DOUBLE / n) * (s::DOUBLE / n), 0) / 1e9 / 1e9 AS impurity FROM (
+ SELECT fold_id, feature_set, path, count(*) AS n, sum(y) AS s, sum(y::HUGEINT * y) AS q FROM {name}_rows{d} GROUP BY ALL))""")
+        if d < depth:
+            out.append(f"""{name}_vals{d} AS (SELECT fold_id, feature_set, path, j, x[j] AS v, count(*) AS n, sum(y) AS s FROM (SELECT *, unnest(range(1, width + 1)) AS j FROM {name}_rows{d}) GROUP BY ALL),
+{name}_cuts{d} AS (SELECT *, sum(n) OVER w - n AS ln, sum(s) OVER w - s AS ls, lag(v) OVER w AS u FROM {name}_vals{d} WINDOW w AS (PARTITION BY fold_id, feature_set, path, j ORDER BY v)),
+{name}_best{d} AS (SELECT fold_id, feature_set, path, CAST(min(b).j AS INTEGER) AS j, (min(b).u + min(b).v) / 2 AS threshold FROM (
+ SELECT fold_id, feature_set, path, {{'loss': -(ls::DOUBLE * ls::DOUBLE / ln + (t.s - ls)::DOUBLE * (t.s - ls)::DOUBLE / (t.n - ln)), 'j': j, 'v': v, 'u': u}} AS b
+ FROM {name}_cuts{d} c JOIN {name}_stat{d} t USING (fold_id, feature_set, path) WHERE t.impurity > 1e-12 AND ln >= {leaf} AND t.n - ln >= {leaf}) GROUP BY ALL),
+{name}_rows{d + 1} AS (SELECT r.* REPLACE (r.path || CASE WHEN x[j] <= threshold THEN 'L' ELSE 'R' END AS path) FROM {name}_rows{d} r JOIN {name}_best{d} b USING (fold_id, feature_set, path))""")
+        best = f"LEFT JOIN {name}_best{d} b USING (fold_id, feature_set, path)" if d < depth else ""
+        parts.append(f"SELECT fold_id, feature_set, path, n, mean, impurity, {'b.j, b.threshold' if d < depth else 'NULL::INTEGER AS j, NULL::DOUBLE AS threshold'} FROM {name}_stat{d} t {best}")
+    labels = "[" + ", ".join(f"'{f}'" for f in P.FULL_FEATURES) + "]"
+    out.append(f"{name}_all AS (SELECT *, row_number() OVER (PARTITION BY fold_id, feature_set ORDER BY path) - 1 AS node_id FROM ({' UNION ALL '.join(parts)}))")
+    out.append(f"""{name}_nodes AS (SELECT t.fold_id, t.feature_set, t.node_id, CASE WHEN t.j IS NULL THEN 'leaf' ELSE 'split' END AS type, {labels}[t.j] AS feature, t.threshold, l.node_id AS "left", r.node_id AS "right",
+ t.mean / 1e9 AS value, t.impurity, t.n AS sample_count, t.path FROM {name}_all t LEFT JOIN {name}_all l ON l.fold_id = t.fold_id AND l.feature_set = t.feature_set AND l.path = t.path || 'L'
+ LEFT JOIN {name}_all r ON r.fold_id = t.fold_id AND r.feature_set = t.feature_set AND r.path = t.path || 'R')""")
+    return ", " + ",\n".join(out)
+
+
+FAMILIES_SQL, ALL_SQL = "SELECT DISTINCT family_id AS fold_id FROM featured", "SELECT 'deployment' AS fold_id"
+TREES = MODELLED_CTE + tree_ctes("fit", FAMILIES_SQL, FEATURE_SETS, 3, 2) + """,
+walk0 AS (SELECT family_id, problem_instance, candidate_name, ok, x, fold_id, feature_set, '' AS path FROM featured JOIN (SELECT DISTINCT fold_id, feature_set FROM fit_nodes) ON fold_id = family_id),
+""" + ",\n".join(f"walk{d + 1} AS (SELECT w.* REPLACE (CASE WHEN j IS NULL THEN w.path ELSE w.path || CASE WHEN x[j] <= threshold THEN 'L' ELSE 'R' END END AS path) FROM walk{d} w LEFT JOIN fit_best{d} b USING (fold_id, feature_set, path))" for d in range(3)) + """,
+picked AS (SELECT family_id, problem_instance, w.feature_set, arg_min(candidate_name, (value, candidate_name)) FILTER (ok) AS pick FROM walk3 w JOIN fit_nodes n ON n.fold_id = w.fold_id AND n.feature_set = w.feature_set AND n.path = w.path GROUP BY ALL)"""
+
+
+def modelled(spark, sf_dir):
+    """Balanced rows with every model feature."""
+    n, number = F.col("n_configurations"), F.expr("CAST(substring(problem_instance, 6) AS BIGINT)")
+    return balanced(spark, sf_dir).select(
+        "*", F.log1p(n).alias("log1p_n_configurations"), F.when(F.col("backend") == "gpu", 1.0).otherwise(0.0).alias("backend_gpu"),
+        F.log1p(n * 17).alias("log1p_method0_work_proxy"), F.log1p(n * 80).alias("log1p_determinant_cache_bytes"),
+        F.log1p("gpu_guard_bytes").alias("log1p_gpu_guard_bytes"), *[
+            (F.pmod(number * (7 + 4 * i), F.lit(101)) / 101.0).alias(c) for i, c in enumerate((
+                "alpha_single_edge_density", "alpha_double_edge_density", "beta_single_edge_density", "beta_double_edge_density"))],
+        F.when(F.col("backend") == "gpu", 1.0).otherwise(16.0).alias("cpu_threads"))
+
+
+def fits():
+    c = F.col
+    return memory.feasible(c("backend"), c("host_guard_bytes"), c("gpu_host_guard_bytes"), c("gpu_guard_bytes"),
+                           c("host_cap_bytes"), c("gpu_cap_bytes"))
+
+
+PREDICTIONS = CURVES + TREES + f""", decisions AS (SELECT p.*, policy, CASE policy WHEN 'fixed_cpu' THEN 'cpu-16' WHEN 'fixed_gpu' THEN 'gpu-1' WHEN 'static_size_threshold' THEN {CHOICE}
+  WHEN 'size_only_tree' THEN s.pick WHEN 'full_tree' THEN l.pick
   ELSE CASE WHEN cpu_feasible AND cpu_time = best_time THEN 'cpu-16' WHEN gpu_feasible AND gpu_time = best_time THEN 'gpu-1' END END AS d
- FROM pairs p JOIN fitted ON fold_id = family_id, (VALUES ('fixed_cpu'), ('fixed_gpu'), ('static_size_threshold'), ('measured_feasible_best')) x(policy)),
+ FROM pairs p JOIN fitted ON fold_id = p.family_id JOIN picked s ON s.family_id = p.family_id AND s.problem_instance = p.problem_instance AND s.feature_set = 'size_only'
+ JOIN picked l ON l.family_id = p.family_id AND l.problem_instance = p.problem_instance AND l.feature_set = 'full',
+ (VALUES ('fixed_cpu'), ('fixed_gpu'), ('static_size_threshold'), ('size_only_tree'), ('full_tree'), ('measured_feasible_best')) x(policy)),
 predictions AS (SELECT *, t / best_time AS normalized_runtime, (t - best_time) / best_time AS normalized_regret, cpu_time / t AS sc, gpu_time / t AS sg FROM (
  SELECT *, invalid_reason IS NULL AS valid, CASE WHEN invalid_reason IS NULL THEN CASE d WHEN 'cpu-16' THEN cpu_time ELSE gpu_time END END AS t FROM (
   SELECT *, CASE WHEN best_time IS NULL THEN 'no_feasible_candidates' WHEN d IS NULL THEN 'policy_returned_no_candidate'
    WHEN NOT CASE d WHEN 'cpu-16' THEN cpu_feasible ELSE gpu_feasible END THEN 'selected_candidate_memory_infeasible' END AS invalid_reason FROM decisions)))"""
 
 
+def held_out_models(spark, sf_dir):
+    """Modelled rows and the trees of one fold per family, both written once."""
+    rows = materialized(modelled(spark, sf_dir))
+    return rows, materialized(trees.grow_trees(rows, FEATURE_SETS))
+
+
+def decided(rows, models):
+    """Predictions of every policy: thresholds and trees of the row's own fold."""
+    wide = materialized(P.pairs(rows))
+    thresholds = P.fit_thresholds(P.family_curves(wide)).select(F.col("fold_id").alias("family_id"), "kind", "threshold")
+    picks = trees.picked_by_fold(rows, models, fits(), {"size_only": P.SIZE_TREE, "full": P.FULL_TREE})
+    decisions = P.baseline_decisions() | {P.SIZE_TREE: F.col(P.SIZE_TREE), P.FULL_TREE: F.col(P.FULL_TREE)}
+    return P.predict_policies(wide.join(thresholds, "family_id").join(picks, list(P.INSTANCE)), decisions)
+
+
 def predictions(spark, sf_dir):
-    return P.predict_policies(with_models(spark, sf_dir), P.baseline_decisions())
+    return decided(*held_out_models(spark, sf_dir))
 
 
 def metrics(spark, sf_dir):
@@ -228,7 +303,7 @@ def r03(spark, sf_dir):
         ("accuracy_pct", "within_5pct_pct", "selected_over_best", "median_regret_pct", "maximum_regret_pct")])
 
 
-REPORTED = (P.FIXED_CPU, P.FIXED_GPU, P.THRESHOLD, P.BEST)
+REPORTED = P.POLICIES
 
 
 @register("r05_decision_matrix", duck("""
@@ -240,7 +315,7 @@ def r05(spark, sf_dir):
 
 
 @register("r06_miss_list", duck("""
-SELECT family_id, problem_instance, policy, d AS selected_candidate_name, round(normalized_regret, 8) AS normalized_regret FROM predictions WHERE policy = 'static_size_threshold' AND normalized_regret > 0""", PREDICTIONS))
+SELECT family_id, problem_instance, policy, d AS selected_candidate_name, round(normalized_regret, 8) AS normalized_regret FROM predictions WHERE policy IN ('static_size_threshold', 'size_only_tree', 'full_tree') AND normalized_regret > 0""", PREDICTIONS))
 def r06(spark, sf_dir):
     return rounded(reports.misses(predictions(spark, sf_dir), P.LEARNED).select(
         "family_id", "problem_instance", "policy", "selected_candidate_name", "normalized_regret"))
@@ -251,7 +326,7 @@ def r07(spark, sf_dir):
     return reports.prediction_export(predictions(spark, sf_dir)).select("instance_id", "policy", "selected", "valid")
 
 
-@register("r10_ablation", duck(f"SELECT * FROM ({BOTH}) WHERE policy = 'static_size_threshold'", PREDICTIONS))
+@register("r10_ablation", duck(f"SELECT * FROM ({BOTH}) WHERE policy IN ('static_size_threshold', 'size_only_tree', 'full_tree')", PREDICTIONS))
 def r10(spark, sf_dir):
     return rounded(reports.ablation(metrics(spark, sf_dir), P.LEARNED))
 
@@ -269,24 +344,6 @@ SCORED = BALANCED_CTE + """, scored AS (SELECT *, CASE WHEN ln(1e0 + n_configura
  CASE WHEN backend = 'cpu' THEN host_guard_bytes <= host_cap_bytes ELSE gpu_host_guard_bytes <= host_cap_bytes AND gpu_guard_bytes <= gpu_cap_bytes END AS ok FROM balanced)"""
 
 
-def modelled(spark, sf_dir):
-    """Balanced rows with every model feature."""
-    n = F.col("n_configurations")
-    return balanced(spark, sf_dir).select(
-        "*", F.log1p(n).alias("log1p_n_configurations"), F.when(F.col("backend") == "gpu", 1.0).otherwise(0.0).alias("backend_gpu"),
-        F.log1p(n * 17).alias("log1p_method0_work_proxy"), F.log1p(n * 80).alias("log1p_determinant_cache_bytes"),
-        F.log1p("gpu_guard_bytes").alias("log1p_gpu_guard_bytes"), *[
-            (F.pmod(F.hash("problem_instance", F.lit(i)), F.lit(100)) / 100.0).alias(c) for i, c in enumerate((
-                "alpha_single_edge_density", "alpha_double_edge_density", "beta_single_edge_density", "beta_double_edge_density"))],
-        F.when(F.col("backend") == "gpu", 1.0).otherwise(16.0).alias("cpu_threads"))
-
-
-def fits():
-    c = F.col
-    return memory.feasible(c("backend"), c("host_guard_bytes"), c("gpu_host_guard_bytes"), c("gpu_guard_bytes"),
-                           c("host_cap_bytes"), c("gpu_cap_bytes"))
-
-
 @register("m05_tree_predict", duck("SELECT problem_instance, candidate_name, predicted FROM scored", SCORED))
 def m05(spark, sf_dir):
     return modelled(spark, sf_dir).select("problem_instance", "candidate_name", trees.tree_column(TREE).alias("predicted"))
@@ -299,49 +356,47 @@ def m06(spark, sf_dir):
     return trees.select_by_tree(modelled(spark, sf_dir), trees.tree_column(TREE), fits())
 
 
-FEATURE_SETS = {"size_only": P.SIZE_FEATURES, "full": P.FULL_FEATURES}
+NODES = """fold_id, feature_set, node_id, type, feature, round(threshold, 6) AS threshold, "left", "right", round(value, 8) AS value, round(impurity, 6) AS impurity, sample_count"""
+
 
+def node_rows(nodes):
+    return nodes.select("fold_id", "feature_set", "node_id", "type", "feature", F.round("threshold", 6).alias("threshold"), "left", "right",
+                        F.round("value", 8).alias("value"), F.round("impurity", 6).alias("impurity"), "sample_count")
 
-def grouped_models(spark, sf_dir, deployment=False):
-    """Trees of one leave-one-family-out fold per family."""
-    df = materialized(modelled(spark, sf_dir).withColumn("fold", F.col("family_id")))
-    folds = sorted(r[0] for r in df.where("fold IS NOT NULL").select("fold").distinct().collect())
-    models = trees.fit_trees(df, folds, FEATURE_SETS, "fold", deployment=deployment)
-    return df, models
 
+FORMS = {"2/1": (2, 1), "3/2": (3, 2)}
 
-@register("m03_runtime_tree_fit")
+
+@register("m03_runtime_tree_fit", duck(" UNION ALL ".join(f"""
+SELECT '{form}' AS form, fold_id, feature_set, count(*) AS nodes, count(*) FILTER (type = 'leaf') AS leaves, max(length(path)) AS depth, min(sample_count) AS least FROM {name}_nodes GROUP BY ALL"""
+    for name, form in (("small", "2/1"), ("fit", "3/2"))), BALANCED_CTE + MODELLED_CTE + tree_ctes("fit", FAMILIES_SQL, FEATURE_SETS, 3, 2) + tree_ctes("small", FAMILIES_SQL, FEATURE_SETS, 2, 1)))
 def m03(spark, sf_dir):
-    _, models = grouped_models(spark, sf_dir)
-    return trees.node_table(spark, models).groupBy("fold_id", "feature_set").agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("type") == "leaf").alias("leaves"))
+    """Both registered forms (depth/least leaf) of one leave-one-family-out fold per family."""
+    rows = materialized(modelled(spark, sf_dir))
+    out = None
+    for form, (depth, leaf) in FORMS.items():
+        nodes = trees.grow_trees(rows, FEATURE_SETS, max_depth=depth, min_leaf=leaf)
+        made = trees.tree_shapes(nodes).select(F.lit(form).alias("form"), "*")
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
-@register("m04_tree_export")
+@register("m04_tree_export", duck(f"SELECT {NODES} FROM fit_nodes", BALANCED_CTE + MODELLED_CTE + tree_ctes("fit", FAMILIES_SQL, FEATURE_SETS, 3, 2)))
 def m04(spark, sf_dir):
-    _, models = grouped_models(spark, sf_dir)
-    return trees.node_table(spark, models)
+    return node_rows(held_out_models(spark, sf_dir)[1])
 
 
-@register("m12_deployment_fit")
+@register("m12_deployment_fit", duck(f"SELECT {NODES} FROM fit_nodes", BALANCED_CTE + MODELLED_CTE + tree_ctes("fit", ALL_SQL, {"full": P.FULL_FEATURES}, 3, 2)))
 def m12(spark, sf_dir):
-    df = modelled(spark, sf_dir)
-    models = trees.fit_trees(df, [], {"full": P.FULL_FEATURES}, deployment=True)
-    return trees.node_table(spark, models)
+    return node_rows(trees.grow_trees(modelled(spark, sf_dir), {"full": P.FULL_FEATURES}, deployment=True, held_out=False))
 
 
-@register("m11_fold_evaluation")
+@register("m11_fold_evaluation", duck(BOTH, PREDICTIONS))
 def m11(spark, sf_dir):
-    """All six policies over leave-one-family-out folds, pooled and per family."""
-    df, models = grouped_models(spark, sf_dir)
-    wide = materialized(P.pairs(df, ("n_configurations", "fold")))
-    thresholds = P.fit_thresholds(P.family_curves(wide.withColumn("family_id", F.col("fold")))).select(
-        F.col("fold_id").alias("fold"), "kind", "threshold")
-    keys = ["family_id", "problem_instance"]
-    chosen = wide.join(thresholds, "fold")
-    for name, column in (("size_only", "_size"), ("full", "_full")):
-        picked = trees.select_by_tree(df, trees.fold_tree_column(models, name, "fold"), fits())
-        chosen = chosen.join(picked.select(*keys, F.col("selected_candidate_name").alias(column)), keys)
-    decisions = P.baseline_decisions() | {P.SIZE_TREE: F.col("_size"), P.FULL_TREE: F.col("_full")}
-    rows = materialized(P.predict_policies(chosen.withColumn("family_id", F.col("fold")), decisions))
-    return rounded(P.policy_metrics(rows))
+    """All six policies over leave-one-family-out folds, pooled and per family.
+
+    The deployment trees are fitted with the folds' and kept out of every metric.
+    """
+    rows = materialized(modelled(spark, sf_dir))
+    models = trees.without_deployment(trees.grow_trees(rows, FEATURE_SETS, deployment=True))
+    return rounded(P.policy_metrics(materialized(decided(rows, materialized(models)))))

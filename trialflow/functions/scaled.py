@@ -228,38 +228,40 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     bucket: Sequence[Column],
-    fn: str,
+    fn: str | dict[str, str],
     values: dict[str, Column],
     inclusive: bool = True,
     null_keys: bool = True,
 ) -> DataFrame:
     """Running sum/max/min along ``order`` per ``keys``, bucket by bucket.
 
-    ``values`` maps output names to inputs. Exclusive sums start at 0, exclusive
-    maxima and minima at NULL.
+    ``values`` maps output names to inputs; ``fn`` is one function for all of them or one
+    by output name. Exclusive sums start at 0, exclusive maxima and minima at NULL.
     """
-    keys, fold, combine = list(keys), _FOLD[fn], _COMBINE[fn]
+    keys = list(keys)
+    fns = fn if isinstance(fn, dict) else dict.fromkeys(values, fn)
     buckets = [f"_b{i}" for i in range(len(bucket))]
     inputs = {name: f"_x{i}" for i, name in enumerate(values)}
+    fold = {inputs[name]: _FOLD[fns[name]] for name in values}
     staged = df.select(
         "*", *[e.alias(b) for b, e in zip(buckets, bucket)],
         *[v.alias(inputs[n]) for n, v in values.items()],
     )
-    totals = staged.groupBy(*keys, *buckets).agg(*[fold(x).alias(x) for x in inputs.values()])
+    totals = staged.groupBy(*keys, *buckets).agg(*[fold[x](x).alias(x) for x in inputs.values()])
     before = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, *buckets, *[fold(x).over(before).alias(f"_off{x}") for x in inputs.values()]
+        *keys, *buckets, *[fold[x](x).over(before).alias(f"_off{x}") for x in inputs.values()]
     )
     upper = Window.currentRow if inclusive else -1
     inside = (
         Window.partitionBy(*keys, *buckets).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, upper)
     )
-    local = staged.select("*", *[fold(x).over(inside).alias(f"_in{x}") for x in inputs.values()])
+    local = staged.select("*", *[fold[x](x).over(inside).alias(f"_in{x}") for x in inputs.values()])
     joined = keyed_join(local, offsets, [*keys, *buckets], "inner", null_keys)
     return joined.select(
         *df.columns,
-        *[combine(F.col(f"_in{x}"), F.col(f"_off{x}")).alias(name) for name, x in inputs.items()],
+        *[_COMBINE[fns[name]](F.col(f"_in{x}"), F.col(f"_off{x}")).alias(name) for name, x in inputs.items()],
     )
 
 

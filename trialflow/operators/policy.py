@@ -463,8 +463,3 @@ def prediction_rules() -> list:
 def attach_folds(predictions: DataFrame, folds: DataFrame) -> DataFrame:
     """Fold columns joined on the held-out family."""
     return predictions.join(folds, "family_id", "left")
-
-
-def without_deployment(models: DataFrame) -> DataFrame:
-    """Held-out metrics never use the model fitted on all rows."""
-    return models.where(F.col("fold_id") != "deployment")
