@@ -33,9 +33,11 @@ from trialflow.functions.scaled import running
 BLOCK_IDS = 1 << 20
 PART_BYTES = 64 << 20
 RANKED = 512
-#: bytes of text whose ids a Python worker remembers, and the longest stretch among it
-KNOWN_BYTES = 16 << 20
+#: stretches a Python worker remembers twice over (about 200 bytes each), and the longest of them
+KNOWN = 300_000
 KNOWN_LENGTH = 48
+#: files whose start (16 bytes) is broadcast to their blocks; beyond it they meet in a shuffle
+BROADCAST_FILES = 1 << 20
 _SLICE = 1 << 16
 _BLANK = "\t-\r \x85\xa0  -     　"
 
@@ -159,9 +161,21 @@ class Encoder:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.stretches = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+        self.blank = re.compile(f"[{_BLANK}]")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.held = 0
+        line = self._ids(["\n"])[0]
+        self.line = int(np.frombuffer(line, "<u4")[0]) if len(line) == 4 else None
+
+    def _of_stretches(self, found: list[str]) -> list[bytes]:
+        """Ids of stretches without blanks, encoded as the lines of one text."""
+        if self.line is not None:
+            ids = np.frombuffer(self._ids(["\n".join(found)])[0], "<u4")
+            ends = np.flatnonzero(ids == self.line).tolist()
+            if len(ends) + 1 == len(found):
+                raw = ids.tobytes()
+                return [raw[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)]
+        return self._ids(found)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -180,18 +194,19 @@ class Encoder:
                 missing.append(x)
             else:
                 young[x] = got
-        for start in range(0, len(missing), 4096):
-            part = missing[start : start + 4096]
-            young.update(zip(part, self._ids(part), strict=True))
-        self.held += sum(map(len, new))
+        blanks = [x for x in missing if self.blank.match(x[-1])]
+        words = [x for x in missing if not self.blank.match(x[-1])] if blanks else missing
+        for part, encode in ((blanks, self._ids), (words, self._of_stretches)):
+            for start in range(0, len(part), 4096):
+                some = part[start : start + 4096]
+                young.update(zip(some, encode(some), strict=True))
         out = b"".join([young[x] for x in found])
-        for x in new:
+        for x in missing:
             if len(x) > KNOWN_LENGTH:
-                self.held -= len(x)
                 del young[x]
-        if self.held > KNOWN_BYTES:
+        if len(young) > KNOWN:
             # stretches of the last round are still at hand in the next one
-            self.young, self.old, self.held = {}, young, 0
+            self.young, self.old = {}, young
         return out
 
 
@@ -260,8 +275,9 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """The blocks below ``path`` with ``start``, the number of ids of all documents before each."""
     blocks = spark.read.parquet(path)
     files = blocks.groupBy("file").agg(F.sum("n").alias("ids"))
-    starts = running(files, [], ["file"], [F.shiftright("file", 10)], "sum", {"first": F.col("ids")}, inclusive=False)
-    return blocks.join(starts.select("file", "first"), "file").withColumn("start", (F.col("first") + F.col("before")).cast("bigint")).drop("first")
+    starts = running(files, [], ["file"], [F.shiftright("file", 10)], "sum", {"first": F.col("ids")}, inclusive=False).select("file", "first")
+    starts = F.broadcast(starts) if (blocks.agg(F.max("file")).first()[0] or 0) < BROADCAST_FILES else starts
+    return blocks.join(starts, "file").withColumn("start", (F.col("first") + F.col("before")).cast("bigint")).drop("first")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
