@@ -145,7 +145,7 @@ def grow_trees(
             "fold_id", "feature_set", "features", F.concat("path", "side").alias("path"), F.concat("rule", "side").alias("region"))
         splits = parents.select("region", "feature", "threshold", rule.alias("rule")).distinct()
         goes = F.when(F.col("x")[F.col("feature")] <= F.col("threshold"), "L").otherwise("R")
-        placed = materialized(placed.join(materialized(splits), "region").select("family", "x", "y", F.concat("rule", goes).alias("region")))
+        placed = materialized(placed.join(splits, "region").select("family", "x", "y", F.concat("rule", goes).alias("region")))
     table = levels[0]
     for level in levels[1:]:
         table = table.unionByName(level)
