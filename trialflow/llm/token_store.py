@@ -14,6 +14,7 @@ chunks, and, but for the last, the bitmap and its ranks (uint64), each filled up
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import re
@@ -23,6 +24,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ BLOCK_IDS = 1 << 20
 PART_BYTES = 64 << 20
 RANKED = 512
 #: stretches a Python worker remembers twice over (about 200 bytes each), and the longest of them
-KNOWN = 300_000
+KNOWN = 700_000
 KNOWN_LENGTH = 48
 #: files whose start (16 bytes) is broadcast to their blocks; beyond it they meet in a shuffle
 BROADCAST_FILES = 1 << 20
@@ -162,6 +164,8 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.stretches = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
         self.blank = re.compile(f"[{_BLANK}]")
+        # a word and the marks behind it are apart in the vocabulary's own first cut
+        self.word_and_marks = re.compile("( ?[A-Za-z]+)([.,;:!?]+)")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         line = self._ids(["\n"])[0]
@@ -180,28 +184,43 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian uint32."""
-        if any(s in text for s in self.special):
-            return self._ids([text])[0]
-        found = self.stretches.findall(text)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian uint32."""
+        whole = [any(x in t for x in self.special) for t in texts]
+        found = [[] if w else self.stretches.findall(t) for t, w in zip(texts, whole, strict=True)]
         young, old = self.young, self.old
-        new = {*found}.difference(young)
-        missing = []
-        for x in new:
+        new: set[str] = set()
+        for stretches in found:
+            new.update(stretches)
+        missing, joined = {}, []
+        for x in new.difference(young):
             got = old.get(x)
-            if got is None:
-                missing.append(x)
-            else:
+            if got is not None:
                 young[x] = got
+                continue
+            both = self.word_and_marks.fullmatch(x)
+            if both:
+                joined.append((x, *both.groups()))
+            else:
+                missing[x] = None
+        for _, *parts in joined:
+            for x in parts:
+                if x not in young:
+                    got = old.get(x)
+                    if got is not None:
+                        young[x] = got
+                    else:
+                        missing[x] = None
         blanks = [x for x in missing if self.blank.match(x[-1])]
-        words = [x for x in missing if not self.blank.match(x[-1])] if blanks else missing
+        words = [x for x in missing if not self.blank.match(x[-1])]
         for part, encode in ((blanks, self._ids), (words, self._of_stretches)):
             for start in range(0, len(part), 4096):
                 some = part[start : start + 4096]
                 young.update(zip(some, encode(some), strict=True))
-        out = b"".join([young[x] for x in found])
-        for x in missing:
+        young.update([(x, young[word] + young[marks]) for x, word, marks in joined])
+        known = young.__getitem__
+        out = [self._ids([t])[0] if w else b"".join(map(known, f)) for t, w, f in zip(texts, whole, found, strict=True)]
+        for x in [*missing, *[x for x, *_ in joined]]:
             if len(x) > KNOWN_LENGTH:
                 del young[x]
         if len(young) > KNOWN:
@@ -254,17 +273,19 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
             return pa.RecordBatch.from_arrays(arrays, schema.names)
 
         for batch in batches:
-            column = batch.column("key")
-            for i, text in enumerate(batch.column("text")):
-                ids = encoder.encode(text.as_py()) + end
-                keys.append(column.slice(i, 1))
-                sizes.append(len(ids) // 4)
-                codes.append(ids)
-                held += len(ids) // 4
-                if held >= block_ids:
-                    yield closed()
-                    block, before, held = block + 1, before + held, 0
-                    keys, sizes, codes = [], [], []
+            column, texts = batch.column("key"), batch.column("text")
+            # texts pass in groups of about a megabyte
+            group = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) >> 20
+            for low, high in itertools.pairwise([*np.unique(group, return_index=True)[1].tolist(), len(group)]):
+                for i, ids in enumerate(encoder.encode(texts.slice(low, high - low).to_pylist()), low):
+                    keys.append(column.slice(i, 1))
+                    sizes.append(len(ids) // 4 + 1)
+                    codes += [ids, end]
+                    held += sizes[-1]
+                    if held >= block_ids:
+                        yield closed()
+                        block, before, held = block + 1, before + held, 0
+                        keys, sizes, codes = [], [], []
         if keys:
             yield closed()
 
