@@ -9,16 +9,17 @@ from trialflow.operators import logs
 from trialflow.session import materialized
 from trialflow.sources import samples, texts
 
-BITS = 16
-STRINGS_CTE = """raw AS (SELECT 'list-' || label AS file, vec_id, """ + " || ".join(
-    f"CASE WHEN embedding[{i}] > 0 THEN '1' ELSE '0' END" for i in range(1, BITS + 1)) + """ AS bits FROM embeddings),
+#: a vector of 64 elements gives four strings of its signs
+BITS, PARTS = 16, 4
+STRINGS_CTE = f"""raw AS (SELECT 'list-' || label AS file, vec_id * {PARTS} + part AS vec_id, """ + " || ".join(
+    f"CASE WHEN embedding[part * {BITS} + {i}] > 0 THEN '1' ELSE '0' END" for i in range(1, BITS + 1)) + f""" AS bits FROM embeddings, (SELECT unnest(range({PARTS})) AS part)),
 strings AS (SELECT file, bits, CAST(row_number() OVER (PARTITION BY file ORDER BY min(vec_id)) - 1 AS BIGINT) AS pos FROM raw GROUP BY file, bits)"""
 
 
 def raw_strings(spark, sf_dir):
-    sign = F.concat(*[F.when(F.col("embedding")[i] > 0, "1").otherwise("0") for i in range(BITS)])
-    return load(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("list-"), F.col("label").cast("string")).alias("file"), "vec_id", sign.alias("bits"))
+    signs = [F.concat(*[F.when(F.col("embedding")[p * BITS + i] > 0, "1").otherwise("0") for i in range(BITS)]) for p in range(PARTS)]
+    rows = load(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode(F.array(*signs)).alias("part", "bits"))
+    return rows.select(F.concat(F.lit("list-"), F.col("label").cast("string")).alias("file"), (F.col("vec_id") * PARTS + F.col("part")).alias("vec_id"), "bits")
 
 
 def strings(spark, sf_dir):
@@ -63,7 +64,7 @@ def a12(spark, sf_dir):
     return rounded(X.bitstring_stats(raw_strings(spark, sf_dir)))
 
 
-EDGES = STRINGS_CTE + """, edges AS (SELECT l.file, l.pos AS a, r.pos AS b, CAST(bit_count(xor(CAST(l.bits::BIT AS INTEGER), CAST(r.bits::BIT AS INTEGER))) AS BIGINT) AS dist
+EDGES = STRINGS_CTE + """, edges AS (SELECT l.file, l.pos AS a, r.pos AS b, CAST(bit_count(xor(l.bits::BIT, r.bits::BIT)) AS BIGINT) AS dist
  FROM strings l JOIN strings r ON l.file = r.file AND l.pos <> r.pos)"""
 
 
@@ -79,7 +80,7 @@ SELECT file, CAST(count(*) AS BIGINT) AS determinants, CAST(count(*) * (count(*)
 FROM (SELECT n.file, n.pos, count(*) FILTER (dist = 2) AS s, count(*) FILTER (dist = 4) AS d FROM strings n LEFT JOIN edges e ON e.file = n.file AND e.a = n.pos GROUP BY ALL) GROUP BY file""", EDGES))
 def a14(spark, sf_dir):
     nodes = materialized(strings(spark, sf_dir))
-    return rounded(X.degree_stats(nodes, X.hamming_neighbours(nodes, BITS)))
+    return rounded(X.degree_stats(nodes, None, degrees=X.string_degrees(nodes, BITS)))
 
 
 @register("f17_canonical_order", duck("""
@@ -112,7 +113,7 @@ def f16(spark, sf_dir):
     observed = X.bitstring_stats(raw_strings(spark, sf_dir))
     manifest = observed.select(
         "file", F.when(F.col("file") == "list-3", F.col("count")).otherwise(F.lit(-1)).cast("bigint").alias("count"), "bit_length",
-    ).unionByName(spark.range(1).select(F.lit("list-none").alias("file"), F.lit(4).cast("bigint").alias("count"), F.lit(16).cast("bigint").alias("bit_length")))
+    ).unionByName(spark.range(1).select(F.lit("list-none").alias("file"), F.lit(4).cast("bigint").alias("count"), F.lit(BITS).cast("bigint").alias("bit_length")))
     return X.inventory_rules(observed, manifest)
 
 

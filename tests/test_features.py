@@ -199,3 +199,26 @@ def test_long_lists_keep_their_pairs(spark):
     want = {d: sum(1 for a in values for b in values if (a ^ b).bit_count() == d) for d in (2, 4)}
     stats = X.degree_stats(df, near).first()
     assert (stats["directed_single_edges"], stats["directed_double_edges"]) == (want[2], want[4])
+
+
+@pytest.mark.parametrize("width, n, constant", [(64, 3000, True), (70, 400, True), (16, 600, False), (5, 32, False)])
+def test_degrees_by_deletion_equal_all_pairs(spark, width, n, constant):
+    rng = random.Random(width)
+    found = set()
+    while len(found) < n:
+        bits = ["0"] * width
+        # few electrons above a common core, as in a real list
+        for i in rng.sample(range(width), 3 if constant and width > 16 else rng.randint(0, width)):
+            bits[i] = "1"
+        found.add("".join(bits))
+    strings = sorted(found)
+    numbers = [int(b, 2) for b in strings]
+    want = {}
+    for i, x in enumerate(numbers):
+        near = [(x ^ y).bit_count() for y in numbers]
+        want[i] = (near.count(2), near.count(4))
+    df = spark.createDataFrame([("f", i, b) for i, b in enumerate(strings)] + [("g", 0, "0" * width)], "file string, pos bigint, bits string")
+    got = {(r["file"], r["node"]): (r["s"], r["d"]) for r in X.string_degrees(df, width).collect()}
+    assert got == {("f", i): v for i, v in want.items()} | {("g", 0): (0, 0)}
+    row = X.degree_stats(df, None, degrees=X.string_degrees(df, width)).where("file = 'f'").first()
+    assert row["directed_single_edges"] == sum(s for s, _ in want.values()) and row["double_degree_max"] == max(d for _, d in want.values())

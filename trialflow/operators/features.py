@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialflow.functions.memory import integral_scalars
@@ -144,13 +144,14 @@ def pair_counts(strings: DataFrame, budget: int | None = None) -> DataFrame:
 
 
 def hamming_neighbours(
-    strings: DataFrame, width: int, radius: int = 4, budget: int | None = None
+    strings: DataFrame, width: int, radius: int = 4, budget: int | None = None, unequal: bool = False
 ) -> DataFrame:
     """Directed pairs ``(file, a, b, dist)`` of a file with ``1 <= dist <= radius``.
 
     Strings within ``radius`` agree on at least one of ``radius + 1`` bands, so equal
     bands are joined and a pair is kept at its first equal band only. A caller may set a
-    budget of unordered pairs per file; files beyond it then take no part.
+    budget of unordered pairs per file; files beyond it then take no part. ``unequal``
+    keeps only pairs whose strings have different numbers of set bits.
     """
     bands = radius + 1
     edges = [width * i // bands for i in range(bands + 1)]
@@ -161,7 +162,7 @@ def hamming_neighbours(
         chosen = keyed_join(strings, small, ["file"], "left_semi", null_keys=False)
     nodes = chosen.select(
         "file", F.col("pos").alias("node"), bit_words(F.col("bits"), width).alias("words"),
-        F.array(*slices).alias("bands"),
+        F.array(*slices).alias("bands"), occupancy(F.col("bits")).alias("set"),
     )
     keyed = nodes.select("*", F.posexplode("bands").alias("band", "value"))
     l = keyed.select(*[F.col(c).alias(f"l_{c}") for c in keyed.columns])
@@ -176,7 +177,8 @@ def hamming_neighbours(
         r,
         (F.col("l_file") == F.col("r_file")) & (F.col("l_band") == F.col("r_band"))
         & (F.col("l_value") == F.col("r_value")) & (F.col("l_node") != F.col("r_node"))
-        & (first == F.col("l_band")) & (distance <= radius),
+        & (first == F.col("l_band")) & (distance <= radius)
+        & ((F.col("l_set") != F.col("r_set")) if unequal else F.lit(True)),
     )
     return joined.select(
         F.col("l_file").alias("file"), F.col("l_node").alias("a"), F.col("r_node").alias("b"),
@@ -184,15 +186,50 @@ def hamming_neighbours(
     )
 
 
+def string_degrees(strings: DataFrame, width: int) -> DataFrame:
+    """``file, node, s, d``: how many strings of the file stand at distance 2 and 4 of each.
+
+    Two strings with equally many set bits have distance 2 iff they are equal less one set
+    bit each, and distance 4 iff they are equal less two and not less one. So the sizes of
+    the groups of equal keys give both degrees without a pair: a neighbour at distance 2
+    shares one key of the first kind and, with n set bits, n - 1 of the second. A group
+    holds at most width squared strings. Only pairs with unequal numbers of set bits, in
+    files that have such, are found by :func:`hamming_neighbours`.
+    """
+    masks = [[(1 << (min(WORD_BITS, width - w) - 1 - (i - w))) if w <= i < w + WORD_BITS else 0 for w in range(0, width, WORD_BITS)] for i in range(width)]
+    every = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in m]) for m in masks])
+    at = F.filter(F.sequence(F.lit(1), F.lit(width)), lambda i: F.substring("bits", i, F.lit(1)) == "1")
+    nodes = strings.select("file", F.col("pos").alias("node"), bit_words(F.col("bits"), width).alias("words"), F.transform(at, lambda i: F.element_at(every, i)).alias("masks"))
+    less = lambda words, mask: F.zip_with(words, mask, lambda a, b: a.bitwiseXOR(b))
+    one = F.transform("masks", lambda m: less(F.col("words"), m))
+    # two set bits, the earlier one first
+    two = F.flatten(F.transform("masks", lambda m, i: F.transform(
+        F.slice("masks", i + 2, F.size("masks")), lambda k: less(less(F.col("words"), m), k))))
+    keys = nodes.select("file", "node", F.size("masks").alias("n"), F.explode(F.array(
+        F.struct(F.lit(1).alias("level"), one.alias("keys")), F.struct(F.lit(2).alias("level"), two.alias("keys")))).alias("k"))
+    keys = keys.select("file", "node", "n", "k.level", F.explode("k.keys").alias("key"))
+    others = F.count(F.lit(1)).over(Window.partitionBy("file", "level", "key")) - 1
+    shared = keys.withColumn("others", others).groupBy("file", "node", "n").agg(
+        F.sum(F.when(F.col("level") == 1, F.col("others")).otherwise(0)).alias("s"), F.sum(F.when(F.col("level") == 2, F.col("others")).otherwise(0)).alias("t"))
+    equal = shared.select("file", "node", "s", (F.col("t") - (F.col("n") - 1) * F.col("s")).alias("d"))
+    mixed = strings.groupBy("file").agg(F.min(occupancy(F.col("bits"))).alias("lo"), F.max(occupancy(F.col("bits"))).alias("hi")).where("lo <> hi").select("file")
+    near = hamming_neighbours(keyed_join(strings, mixed, ["file"], "left_semi", null_keys=False), width, unequal=True)
+    unequal = near.groupBy("file", F.col("a").alias("node")).agg(F.count_if(F.col("dist") == 2).alias("s"), F.count_if(F.col("dist") == 4).alias("d"))
+    zero = F.lit(0).cast("bigint")
+    none = strings.select("file", F.col("pos").alias("node"), zero.alias("s"), zero.alias("d"))
+    return none.unionByName(equal).unionByName(unequal).groupBy("file", "node").agg(F.sum("s").alias("s"), F.sum("d").alias("d"))
+
+
 def degree_stats(
-    strings: DataFrame, neighbours: DataFrame, budget: int | None = None
+    strings: DataFrame, neighbours: DataFrame | None, budget: int | None = None, degrees: DataFrame | None = None
 ) -> DataFrame:
     """Single (distance 2) and double (distance 4) degrees per file.
 
     Isolated strings count with degree 0. Files beyond a budget keep their row, with
     ``within_budget`` false and every degree NULL; that column is there only with a budget.
+    ``degrees`` are those of :func:`string_degrees`, in place of neighbours.
     """
-    per_node = neighbours.groupBy("file", F.col("a").alias("node")).agg(
+    per_node = degrees if degrees is not None else neighbours.groupBy("file", F.col("a").alias("node")).agg(
         F.count_if(F.col("dist") == 2).alias("s"), F.count_if(F.col("dist") == 4).alias("d"))
     degrees = per_node.groupBy("file").agg(
         F.count(F.lit(1)).alias("_touched"),
