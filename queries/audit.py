@@ -213,7 +213,7 @@ def registry(spark, sf_dir):
     return spark.sql(spark_text(body).replace("FROM part", "FROM {part}"), part=load(spark, sf_dir, "part"))
 
 
-PAIR_SQL = """, firsts AS (SELECT * FROM accepted WHERE repetition = 0), sides AS (SELECT family_id, problem_instance, CAST(count(*) FILTER (backend = 'cpu') AS BIGINT) AS cpu_rows,
+PAIR_SQL = """, firsts AS (SELECT * FROM accepted), sides AS (SELECT family_id, problem_instance, repetition, CAST(count(*) FILTER (backend = 'cpu') AS BIGINT) AS cpu_rows,
  CAST(count(*) FILTER (backend = 'gpu') AS BIGINT) AS gpu_rows, max(wall_time_s) FILTER (backend = 'cpu') AS cpu_wall_time_s, max(wall_time_s) FILTER (backend = 'gpu') AS gpu_wall_time_s FROM firsts GROUP BY ALL)"""
 
 
@@ -228,17 +228,17 @@ def accepted(spark, sf_dir):
     return picked.select(*keys, "r.*")
 
 
-@register("j05_backend_pairs", duck("SELECT family_id, problem_instance, cpu_wall_time_s, gpu_wall_time_s FROM sides WHERE cpu_rows = 1 AND gpu_rows = 1", DUCK_ACCEPTED + PAIR_SQL))
+@register("j05_backend_pairs", duck("SELECT family_id, problem_instance, repetition, cpu_wall_time_s, gpu_wall_time_s FROM sides WHERE cpu_rows = 1 AND gpu_rows = 1", DUCK_ACCEPTED + PAIR_SQL))
 def j05(spark, sf_dir):
     good, _ = audit.backend_pairs(
-        accepted(spark, sf_dir).where("repetition = 0"), ["family_id", "problem_instance"], ["wall_time_s"])
+        accepted(spark, sf_dir), ["family_id", "problem_instance", "repetition"], ["wall_time_s"])
     return good
 
 
-@register("j05_unpaired", duck("SELECT family_id, problem_instance, cpu_rows, gpu_rows FROM sides WHERE cpu_rows <> 1 OR gpu_rows <> 1", DUCK_ACCEPTED + PAIR_SQL))
+@register("j05_unpaired", duck("SELECT family_id, problem_instance, repetition, cpu_rows, gpu_rows FROM sides WHERE cpu_rows <> 1 OR gpu_rows <> 1", DUCK_ACCEPTED + PAIR_SQL))
 def j05_bad(spark, sf_dir):
     return audit.backend_pairs(
-        accepted(spark, sf_dir).where("repetition = 0"), ["family_id", "problem_instance"], ["wall_time_s"])[1]
+        accepted(spark, sf_dir), ["family_id", "problem_instance", "repetition"], ["wall_time_s"])[1]
 
 
 VIEWS = {"balanced": "phase = 'measured' AND repetition <= 2", "suffix_5": "problem_instance LIKE '%5'", "big": "n_configurations >= 900"}
@@ -469,12 +469,11 @@ def u01(spark, sf_dir):
 
 
 @register("u02_id_set_difference", duck("""
-SELECT problem_instance, 'left_only' AS kind FROM (SELECT problem_instance FROM runs WHERE repetition = 0 AND backend = 'cpu' AND samples < 20 EXCEPT SELECT problem_instance FROM runs WHERE backend = 'gpu' AND samples < 8)
-UNION ALL SELECT problem_instance, 'right_only' FROM (SELECT problem_instance FROM runs WHERE backend = 'gpu' AND samples < 8 EXCEPT SELECT problem_instance FROM runs WHERE repetition = 0 AND backend = 'cpu' AND samples < 20)""", DUCK_RUNS))
+SELECT problem_instance, repetition, 'left_only' AS kind FROM (SELECT problem_instance, repetition FROM runs WHERE backend = 'cpu' EXCEPT SELECT problem_instance, repetition FROM runs WHERE backend = 'gpu')
+UNION ALL SELECT problem_instance, repetition, 'right_only' FROM (SELECT problem_instance, repetition FROM runs WHERE backend = 'gpu' EXCEPT SELECT problem_instance, repetition FROM runs WHERE backend = 'cpu')""", DUCK_RUNS))
 def u02(spark, sf_dir):
     df = runs(spark, sf_dir)
-    return audit.set_difference(
-        df.where("repetition = 0 AND backend = 'cpu' AND samples < 20"), df.where("backend = 'gpu' AND samples < 8"), ["problem_instance"])
+    return audit.set_difference(df.where("backend = 'cpu'"), df.where("backend = 'gpu'"), ["problem_instance", "repetition"])
 
 
 SPLIT = """, split AS (SELECT family_id AS fold_id, problem_instance, CASE WHEN samples = 2 THEN 'test' ELSE 'train' END AS role FROM runs)"""
