@@ -259,11 +259,11 @@ validated AS (SELECT @SHA[concat('inst-', CAST(p_partkey AS STRING))] AS input_s
 
 
 @register("j11_validation_evidence", duck("""
-SELECT trial_id, concat_ws(';', CASE WHEN h.input_sha256 IS NULL THEN 'manifest has no matching validated input' END,
- CASE WHEN h.input_sha256 IS NOT NULL AND v.n IS NULL THEN 'manifest validated input solver settings mismatch' END, CASE WHEN v.n > 1 THEN 'manifest has duplicate matching validated inputs' END,
- CASE WHEN v.n = 1 AND v.ref IS NULL THEN 'manifest validated input reference_value is missing or nonfinite' END,
- CASE WHEN v.n = 1 AND v.ref <> a.reference_value THEN 'manifest validated input reference_value mismatch' END, CASE WHEN v.n = 1 AND v.fam <> a.family_id THEN 'manifest validated input family_id mismatch' END,
- CASE WHEN a.artifact_sha256 NOT IN (sha256('cpu'), sha256('gpu')) THEN 'manifest has no matching backend artifact hash' END) AS errors
+SELECT trial_id, concat_ws(';', CASE WHEN h.input_sha256 IS NULL THEN 'input_not_validated' END,
+ CASE WHEN h.input_sha256 IS NOT NULL AND v.n IS NULL THEN 'solver_not_validated' END, CASE WHEN v.n > 1 THEN 'validated_more_than_once' END,
+ CASE WHEN v.n = 1 AND v.ref IS NULL THEN 'reference_not_finite' END,
+ CASE WHEN v.n = 1 AND v.ref <> a.reference_value THEN 'reference_differs' END, CASE WHEN v.n = 1 AND v.fam <> a.family_id THEN 'family_id_differs' END,
+ CASE WHEN a.artifact_sha256 NOT IN (sha256('cpu'), sha256('gpu')) THEN 'artifact_unknown' END) AS errors
 FROM asked a LEFT JOIN (SELECT DISTINCT input_sha256 FROM validated) h USING (input_sha256)
 LEFT JOIN (SELECT input_sha256, solver_key, count(*) AS n, max(reference_value) AS ref, max(family_id) AS fam FROM validated GROUP BY ALL) v USING (input_sha256, solver_key)""", DUCK_RUNS + EVIDENCE))
 def j11(spark, sf_dir):

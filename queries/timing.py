@@ -19,6 +19,7 @@ def rows(spark, sf_dir):
     )
 
 
+# fixed values: the reason codes
 REASONS_SQL = {
     "schema_version_not_2_or_3": "schema_version NOT IN (2, 3)",
     "warmup": "phase = 'warmup'",

@@ -159,20 +159,20 @@ def validation_evidence(
     one = F.coalesce(F.col("_n") == 1, F.lit(False))
     stated = finite(F.col("_reference"))
     errors = reasons([
-        rule("manifest has no matching validated input", F.col("_hash").isNull()),
-        rule("manifest validated input solver settings mismatch",
+        rule("input_not_validated", F.col("_hash").isNull()),
+        rule("solver_not_validated",
              F.col("_hash").isNotNull() & F.col("_n").isNull()),
-        rule("manifest has duplicate matching validated inputs",
+        rule("validated_more_than_once",
              F.coalesce(F.col("_n") > 1, F.lit(False))),
-        rule("manifest validated input reference_value is missing or nonfinite", one & ~stated),
-        rule("workload reference_value is missing",
+        rule("reference_not_finite", one & ~stated),
+        rule("workload_without_reference",
              one & stated & F.col("reference_value").isNull()),
-        rule("manifest validated input reference_value mismatch",
+        rule("reference_differs",
              one & stated & F.col("reference_value").isNotNull()
              & (F.col("_reference") != F.col("reference_value"))),
-        *[rule(f"manifest validated input {c} mismatch",
+        *[rule(f"{c}_differs",
                one & ~F.col(c).eqNullSafe(F.col(f"_v_{c}"))) for c in metadata],
-        rule("manifest has no matching backend artifact hash", F.col("_art").isNull()),
+        rule("artifact_unknown", F.col("_art").isNull()),
     ])
     return joined.select(*trials.columns, errors.alias("errors")).withColumn(
         "valid", F.size("errors") == 0

@@ -12,6 +12,7 @@ from trialflow.functions.stats import finite, is_false, is_true
 from trialflow.operators.rules import Rule, needs, rule
 from trialflow.schemas import BACKENDS, PHASES, STATUSES
 
+# fixed value: pattern of family identifiers
 SLUG = "^[a-z0-9]+(?:-[a-z0-9]+)*$"
 
 
