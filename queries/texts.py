@@ -245,6 +245,15 @@ def s04(spark, sf_dir):
     return samples.parse_samples(sample_lines(spark, sf_dir))
 
 
+@register("s04_sample_file_scan", duck("SELECT * FROM samples", SAMPLES_SQL))
+def s04_files(spark, sf_dir):
+    """Samples written as one CSV file per trial and read back from the files."""
+    from queries.contracts import scratch
+    folder = scratch(spark, "samples")
+    samples.write_samples(samples.parse_samples(sample_lines(spark, sf_dir)), folder)
+    return samples.read_sample_folders(spark, folder)
+
+
 @register("a26_trial_peaks", duck("""
 SELECT trial_id, CAST(count(*) AS BIGINT) AS samples, max(host_rss_mib) AS peak_host_rss_mib, max(gpu_memory_mib) AS peak_gpu_memory_mib, max(elapsed_s) AS last_elapsed_s, bool_and(host_rss_mib IS NOT NULL) AS host_complete,
  bool_or(gpu_memory_mib IS NOT NULL) AS gpu_process_observed, bool_and(gpu_utilization_pct IS NOT NULL) AS gpu_complete FROM samples GROUP BY 1""", SAMPLES_SQL))

@@ -186,3 +186,29 @@ def test_strong_overlap_sees_beyond_the_neighbour(spark):
     ).select("host", "id", F.timestamp_seconds("s").alias("s"), F.timestamp_seconds("e").alias("e"))
     assert {r["id"] for r in audit.overlaps(df, ["host"], "id", "s", "e").collect()} == {"b", "c"}
     assert {r["id"] for r in audit.overlaps(df, ["host"], "id", "s", "e", strong=False).collect()} == {"b"}
+
+
+@pytest.mark.parametrize("text, fault", [
+    ('{"a":1}', None), (' {"a":[1,{"b":2}]} \n', None), ('{"a":"NaN"}', None), ('{"a":1e400}', None), ('{"a":"\\u00e9\\"}"}', None),
+    ('{"a":1,"a":2}', "duplicate_key"), ('{"b":[{"a":1,"a":{}}]}', "duplicate_key"), ('{"\\u0061":1,"a":2}', "duplicate_key"), ('[{"a":1,"a":2}]', "duplicate_key"),
+    ('{"b":{"a":NaN}}', "non_finite_number"), ('{"a":-Infinity,"c":"x"}', "non_finite_number"),
+    ("[1]", "root_not_object"), ("null", "root_not_object"), ('"x"', "root_not_object"), ("5", "root_not_object"),
+    ('{"a":1} x', "invalid_json"), ('{"a":1}{"b":2}', "invalid_json"), ('{"a":1},{"b":2}', "invalid_json"), ('{"a":1}]', "invalid_json"), ('{"a":1}}', "invalid_json"),
+    ('{"a":1}],[{}', "invalid_json"), ("", "invalid_json"), (None, "invalid_json"), ("{'a':1}", "invalid_json"), ('{"a":01}', "invalid_json"), ('{"a":"\t"}', "invalid_json"), ('{"a":1,}', "invalid_json"),
+])
+def test_faults_of_a_strict_parser(spark, text, fault):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert df.select(records.strict_fault(F.col("text"))).first()[0] == fault
+
+
+def test_documents_and_samples_are_read_back_from_their_files(spark, tmp_path):
+    rows = [("a/b c", "x.json", '{"k": 1}\n{"l": 2}'), ("ü", "y.json", "[1]")]
+    folder = str(tmp_path / "docs")
+    records.write_documents(spark.createDataFrame(rows, "path string, name string, text string"), folder)
+    got = {tuple(r) for r in records.read_documents(spark, folder, base=folder).collect()}
+    assert got == {(p, n, t + "\n") for p, n, t in rows}
+    from trialflow.sources import samples
+    values = [("t 1+2%", 0.5, 1.0, None, None, None, None), ("t 1+2%", 1.5, 2.0, 3.0, None, None, None), ("é/x", 0.0, None, None, None, None, None)]
+    made = spark.createDataFrame(values, "trial_id string, elapsed_s double, host_rss_mib double, gpu_memory_mib double, gpu_utilization_pct double, gpu_temperature_c double, gpu_power_w double")
+    samples.write_samples(made, str(tmp_path / "samples"))
+    assert {tuple(r) for r in samples.read_sample_folders(spark, str(tmp_path / "samples")).collect()} == set(values)

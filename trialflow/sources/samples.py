@@ -20,6 +20,24 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("trial_id"), *rows.columns)
 
 
+def write_samples(samples: DataFrame, folder: str) -> None:
+    """One CSV file with a header per trial, below ``trial=…`` folders."""
+    rows = samples.withColumnRenamed("trial_id", "trial").repartition("trial")
+    rows.write.option("header", True).partitionBy("trial").csv(folder)
+
+
+def read_sample_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """Sample files below ``trial=…`` folders; a header that differs from the fields is an error."""
+    rows = spark.read.schema(SAMPLES).option("header", True).option("enforceSchema", False)
+    rows = rows.option("basePath", folder).csv(f"{folder}/trial=*")
+    fields = [f.name for f in SAMPLES.fields]
+    name = F.regexp_extract("_metadata.file_path", "/trial=([^/]*)/", 1)
+    # escaped once as a folder's name and once as a path
+    for _ in range(2):
+        name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return rows.select(name.alias("trial_id"), *fields)
+
+
 def parse_samples(lines: DataFrame) -> DataFrame:
     """``trial_id, line`` with raw CSV text to typed sample columns."""
     return lines.select("trial_id", F.from_csv("line", SAMPLES.simpleString()[7:-1].replace(":", " ")).alias("s")).select(
