@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from trialflow.session import shared_folder
 
 BUCKET_BYTES = 4 << 20
+#: buckets whose starts (24 bytes each) are broadcast to the written rows; beyond it both
+#: meet in a shuffle
+BROADCAST_BUCKETS = 1 << 21
 
 
 def rendezvous(key: Column, shards: int, seed: int) -> Column:
@@ -58,5 +61,6 @@ def sharded(docs: DataFrame, shards: int = 8, seed: int = 10, key: str = "doc_id
     sizes = written.groupBy("shard_id", "bucket").count()
     before = Window.partitionBy("shard_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard_id", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    starts = F.broadcast(starts) if per_shard * shards <= BROADCAST_BUCKETS else starts
     return written.join(starts, ["shard_id", "bucket"]).select(
         *names, "shard_id", "grown_shard_id", (F.col("start") + F.col("place")).cast("bigint").alias("slot"))
