@@ -319,3 +319,20 @@ def test_license_of_wrapped_lines(spark, tables):
     assert {(r["doc_id"], r["paragraph"], r["lines"]) for r in runs} == {(1, 2, 3), (2, 0, 2), (3, 0, 2)}
     long = spark.range(1).select(F.concat(F.repeat(F.lit("a "), (1 << 20) + 5), F.lit("mit license")).alias("t"))
     assert long.select(F.array_contains(licenses.terms(F.col("t")), "mit license")).first()[0]
+
+
+def test_neighbours_of_every_length_and_past_small_leaves(spark):
+    rng = np.random.default_rng(8)
+    # one group of copies, outliers that stand alone, and vectors of two lengths
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(400 + i, (rng.normal(size=3) * 1e4).tolist()) for i in range(60)]
+    rows += [(1000 + i, rng.normal(size=2).tolist()) for i in range(30)] + [(2000, [float("nan"), 1.0]), (2100, [0.0, 0.0]), (2200, None), (None, [1.0, 1.0])]
+    frame = spark.createDataFrame([(i, v, 1, "x", 2.0) for i, v in rows], "vec_id bigint, embedding array<double>, id int, leaf string, own double")
+    got = {}
+    for r in ann.nearest(frame, frame.where("vec_id % 100 = 0"), k=10, sample=200).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {0, 100, 200, 300, 400, 1000}
+    for q, found in got.items():
+        v = dict(rows)[q]
+        near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), i) for i, w in rows if i is not None and w is not None and len(w) == len(v) and i not in (q, 2000, 2100))
+        assert [r for r, _, _ in sorted(found)] == list(range(1, 11))
+        assert q == 400 or [i for _, i, _ in sorted(found)] == [i for _, i in near[:10]]

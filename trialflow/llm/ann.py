@@ -128,21 +128,29 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
     """query_id, rank, vec_id, score (Euclidean distance): the k nearest rows found.
 
     Vectors null, empty, zero or holding null or non-finite components take no part, nor do
-    null ids; vectors of another length than the most frequent one are left out likewise.
+    null ids; vectors of each length are searched among themselves, one tree per length.
     A row never answers the query with its own id; repeated rows are candidates each and a
-    repeated query counts once. Fewer candidates than k give all that the visited leaves
-    hold, and at most ``LEAF_ROWS`` rows make one leaf, which is a full search. Empty tables
-    give an empty result.
+    repeated query counts once. A query goes on past the calibrated number of leaves until
+    they hold k other rows, so it has fewer than k neighbours only where there are fewer
+    candidates; at most ``LEAF_ROWS`` rows make one leaf, which is a full search. Empty
+    tables give an empty result.
     """
     spark = table.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     whole = lambda df: usable(df, key, vector).where(F.exists("v", lambda x: x != 0))
     rows = whole(table)
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    rows = materialized(rows.where(F.size("v") == sizes["d"]))
-    asked = materialized(whole(queries).where(F.size("v") == sizes["d"]).groupBy("id").agg(F.min("v").alias("v")))
+    asked = whole(queries).groupBy("id", F.size("v").alias("d")).agg(F.min("v").alias("v"), F.count("*").alias("own"))
+    out = None
+    for size in sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect()):
+        found = _of_length(rows.where(F.size("v") == size), asked.where(F.col("d") == size).drop("d"), k, recall, sample)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _of_length(rows: DataFrame, asked: DataFrame, k: int, recall: float, sample: int) -> DataFrame:
+    """The search among vectors of one length; ``asked`` has id, v and the number of its own rows."""
+    spark = rows.sparkSession
+    rows, asked = materialized(rows), materialized(asked)
     n = rows.count()
     picked = rows.orderBy(F.xxhash64(F.lit(4), "id"), "id").limit(sample).select("v").toPandas()["v"]
     # leaves stay of one size in rows of the whole table as long as the sample allows it
@@ -162,6 +170,10 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
 
     # a leaf of many rows is several blocks
     per = leaves.groupBy("leaf").count()
+    # as many numbers as the tree has nodes, which the sample bounds
+    filled = np.zeros(len(tree.count), np.int64)
+    for r in per.collect():
+        filled[r["leaf"]] = r["count"]
     split = leaves.join(per, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / ROW_BLOCK)).cast("int"))
     blocks = materialized(split.select("leaf", "part", "id", "v").groupBy("leaf", "part").applyInPandas(packed, "leaf int, ids binary, vs binary"))
 
@@ -197,12 +209,19 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
         wide = min(total, max(wide + 1, int(wide * 1.25)))
     least = min(total, max(wide, 2))
 
+    def enough(q, rows_wanted):
+        leaves, seen = least, held.value.visits(q, least)
+        while leaves < total and filled[seen].sum() < rows_wanted:
+            leaves = min(total, 2 * leaves)
+            seen = held.value.visits(q, leaves)
+        return seen
+
     def walks(batches):
         for pdf in batches:
             for i in range(0, len(pdf), 16):
                 part = pdf.iloc[i : i + 16]
                 vs = [np.array(v, float) for v in part["v"]]
-                seen = [held.value.visits(q, least) for q in vs]
+                seen = [enough(q, k + own) for q, own in zip(vs, part["own"], strict=True)]
                 times = [len(x) for x in seen]
                 yield pd.DataFrame({"leaf": np.concatenate(seen).astype("int32"), "query_id": np.repeat(part["id"].to_numpy(), times),
                                     "q": [b for q, n in zip(vs, times, strict=True) for b in [q.tobytes()] * n]})
@@ -222,5 +241,6 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
     # the queries of one leaf in groups, so that a leaf everybody visits is many rows
     groups = asks.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, asked.count() // 256)))).groupBy("leaf", "part").applyInPandas(
         grouped, "leaf int, q_ids binary, qs binary")
-    found = groups.join(blocks, "leaf").mapInPandas(opened, "query_id bigint, vec_id bigint, score double")
+    # a group holds a vector for each of its queries: never the side that is broadcast
+    found = groups.hint("merge").join(blocks, "leaf").mapInPandas(opened, "query_id bigint, vec_id bigint, score double")
     return ranked_rows(found, k, "score, vec_id")
