@@ -7,7 +7,7 @@ from queries.base import DUCK_ACCEPTED, duck, register
 from queries.timing import rounded
 from trialflow.functions import memory
 from trialflow.operators import policy as P
-from trialflow.operators import reports, trees
+from trialflow.operators import dataset, reports, trees
 from trialflow.operators.rules import check
 from trialflow.session import materialized
 
@@ -356,6 +356,65 @@ def m06(spark, sf_dir):
     return trees.select_by_tree(modelled(spark, sf_dir), trees.tree_column(TREE), fits())
 
 
+# -- dataset contract: rows, feature maps and summaries with faults put in by instance number ----
+
+INSTANCE_SQL = "family_id || '::' || problem_instance"
+NUMBERED = """, numbered AS (SELECT *, family_id || '::' || problem_instance AS instance_id, CAST(substring(problem_instance, 6) AS BIGINT) AS number, string_split(source_record_ids, ',') AS ids FROM balanced)"""
+
+
+def number():
+    return F.expr("CAST(substring(problem_instance, 6) AS BIGINT)")
+
+
+@register("m13_feature_allow_list", duck("""
+SELECT instance_id, candidate_name, 'peak_gpu_memory_mb' AS feature, 'feature_not_allowed' AS rule FROM numbered WHERE number % 31 = 1
+UNION ALL SELECT instance_id, candidate_name, 'cpu_threads', 'feature_missing' FROM numbered WHERE number % 31 = 2
+UNION ALL SELECT instance_id, candidate_name, 'backend_gpu', 'feature_not_finite' FROM numbered WHERE number % 31 = 3
+UNION ALL SELECT instance_id, candidate_name, 'basis', unnest(['feature_not_allowed', 'provenance_as_feature']) FROM numbered WHERE number % 31 = 4""", BALANCED_CTE + NUMBERED))
+def m13(spark, sf_dir):
+    rows, fault, values = dataset.dataset_rows(modelled(spark, sf_dir)), number() % 31, F.col("feature_values")
+    forged = (
+        F.when(fault == 1, F.map_concat(values, F.create_map(F.lit("peak_gpu_memory_mb"), F.lit(1.0))))
+        .when(fault == 2, F.map_filter(values, lambda k, _: k != "cpu_threads"))
+        .when(fault == 3, F.transform_values(values, lambda k, v: F.when(k == "backend_gpu", float("nan")).otherwise(v)))
+        .when(fault == 4, F.map_concat(values, F.create_map(F.lit("basis"), F.lit(2.0)))).otherwise(values))
+    return dataset.feature_violations(rows.withColumn("feature_values", forged))
+
+
+@register("f19_dataset_contract", duck("""
+SELECT replace(instance_id, 'fam-', 'group-') || '/' || candidate_name AS subject, 'instance_id_differs' AS rule FROM numbered WHERE number % 37 = 1
+UNION ALL SELECT instance_id || '/' || candidate_name, 'input_not_digest' FROM numbered WHERE number % 37 = 2
+UNION ALL SELECT instance_id || '/tpu-1', 'candidate_not_registered' FROM numbered WHERE number % 37 = 3 AND backend = 'gpu'
+UNION ALL SELECT instance_id || '/' || candidate_name, 'source_count_differs' FROM numbered WHERE number % 37 = 4
+UNION ALL SELECT ids[3], 'source_not_cited' FROM numbered WHERE number % 37 = 4
+UNION ALL SELECT ids[1], 'source_not_cited' FROM numbered WHERE number % 37 = 5
+UNION ALL SELECT ids[2], 'source_reused' FROM numbered WHERE number % 37 = 5
+UNION ALL SELECT unnest(ids), 'source_not_cited' FROM numbered WHERE number % 37 = 6 AND backend = 'gpu'
+UNION ALL SELECT ids[1], 'source_not_listed' FROM numbered WHERE number % 37 = 10 AND backend = 'cpu'
+UNION ALL SELECT DISTINCT replace(instance_id, 'fam-', 'group-'), 'instance_summary_missing' FROM numbered WHERE number % 37 = 1
+UNION ALL SELECT DISTINCT instance_id, 'instance_without_rows' FROM numbered WHERE number % 37 = 1
+UNION ALL SELECT DISTINCT instance_id, 'instance_summary_differs' FROM numbered WHERE number % 37 IN (2, 4, 6, 7)
+UNION ALL SELECT DISTINCT instance_id, 'instance_summary_missing' FROM numbered WHERE number % 37 = 8
+UNION ALL SELECT DISTINCT instance_id, 'candidates_incomplete' FROM numbered WHERE number % 37 = 6
+UNION ALL SELECT DISTINCT instance_id, 'candidates_disagree' FROM numbered WHERE number % 37 = 9
+UNION ALL SELECT DISTINCT family_id, 'family_summary_differs' FROM numbered WHERE number % 37 IN (4, 6)""", BALANCED_CTE + NUMBERED))
+def f19_dataset(spark, sf_dir):
+    sound = materialized(dataset.dataset_rows(modelled(spark, sf_dir)))
+    fault, gpu, ids = number() % 37, F.col("candidate_name") == P.GPU, F.col("source_record_ids")
+    rows = sound.where(~((fault == 6) & gpu)).withColumns({
+        "instance_id": F.when(fault == 1, F.replace("instance_id", F.lit("fam-"), F.lit("group-"))).otherwise(F.col("instance_id")),
+        "input_sha256": F.when(fault == 2, "x").otherwise(F.col("input_sha256")),
+        "candidate_name": F.when((fault == 3) & gpu, "tpu-1").otherwise(F.col("candidate_name")),
+        "source_record_ids": F.when(fault == 4, F.slice(ids, 1, 2)).when(fault == 5, F.array(ids[1], ids[1], ids[2])).otherwise(ids),
+        "n_configurations": F.col("n_configurations") + F.when((fault == 9) & gpu, 1).otherwise(0),
+    })
+    listed = sound.where(~((fault == 10) & ~gpu)).select(F.explode("source_record_ids").alias("trial_id")).unionByName(
+        sound.where((fault == 10) & ~gpu).select(F.explode(F.slice("source_record_ids", 2, 2)).alias("trial_id")))
+    instances = dataset.instance_summaries(sound).where(fault != 8).withColumn(
+        "n_configurations", F.col("n_configurations") + F.when(fault == 7, 1).otherwise(0))
+    return dataset.dataset_violations(rows, listed, instances, dataset.family_summaries(sound), list(CANDIDATES))
+
+
 NODES = """fold_id, feature_set, node_id, type, feature, round(threshold, 6) AS threshold, "left", "right", round(value, 8) AS value, round(impurity, 6) AS impurity, sample_count"""
 
 
