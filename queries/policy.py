@@ -217,13 +217,16 @@ def held_out_models(spark, sf_dir):
     return rows, materialized(trees.grow_trees(rows, FEATURE_SETS))
 
 
+FULL_PREDICTION = ("input_sha256", "cpu_source_record_ids", "gpu_source_record_ids", "best_names", f"{P.SIZE_TREE}_predictions", f"{P.FULL_TREE}_predictions")
+
+
 def decided(rows, models):
     """Predictions of every policy: thresholds and trees of the row's own fold."""
-    wide = materialized(P.pairs(rows))
+    wide = materialized(P.pairs(rows, ("n_configurations", "input_sha256"), ("source_record_ids",)))
     thresholds = P.fit_thresholds(P.family_curves(wide)).select(F.col("fold_id").alias("family_id"), "kind", "threshold")
     picks = trees.picked_by_fold(rows, models, fits(), {"size_only": P.SIZE_TREE, "full": P.FULL_TREE})
     decisions = P.baseline_decisions() | {P.SIZE_TREE: F.col(P.SIZE_TREE), P.FULL_TREE: F.col(P.FULL_TREE)}
-    return P.predict_policies(wide.join(thresholds, "family_id").join(picks, list(P.INSTANCE)), decisions)
+    return P.predict_policies(wide.join(thresholds, "family_id").join(picks, list(P.INSTANCE)), decisions, FULL_PREDICTION)
 
 
 def predictions(spark, sf_dir):
@@ -321,9 +324,32 @@ def r06(spark, sf_dir):
         "family_id", "problem_instance", "policy", "selected_candidate_name", "normalized_regret"))
 
 
-@register("r07_prediction_export", duck(f"SELECT family_id || '::' || problem_instance AS instance_id, policy, CASE WHEN valid THEN d ELSE '' END AS selected, valid FROM predictions", PREDICTIONS))
+SIDES = """, sided AS (SELECT family_id, problem_instance, max(input_sha256) AS input_sha256, max(source_record_ids) FILTER (backend = 'cpu') AS cpu_ids, max(source_record_ids) FILTER (backend = 'gpu') AS gpu_ids FROM balanced GROUP BY ALL),
+guesses AS (SELECT w.family_id, w.problem_instance, w.feature_set || '_tree' AS policy, max(value) FILTER (candidate_name = 'cpu-16') AS predicted_cpu, max(value) FILTER (candidate_name = 'gpu-1') AS predicted_gpu
+ FROM walk3 w JOIN fit_nodes n ON n.fold_id = w.fold_id AND n.feature_set = w.feature_set AND n.path = w.path GROUP BY ALL)"""
+
+
+@register("r07_prediction_export", duck("""
+SELECT p.family_id AS fold_id, p.family_id AS heldout_family_id, p.policy, p.family_id, p.family_id || '::' || p.problem_instance AS instance_id, p.problem_instance, input_sha256, n_configurations, d AS decision_candidate_name,
+ CASE WHEN valid THEN d ELSE '' END AS selected_candidate_name, CASE WHEN valid THEN array_to_string(list_sort(string_split(CASE d WHEN 'cpu-16' THEN cpu_ids ELSE gpu_ids END, ',')), ';') ELSE '' END AS selected_source_record_ids,
+ concat_ws(';', CASE WHEN cpu_feasible AND cpu_time = best_time THEN 'cpu-16' END, CASE WHEN gpu_feasible AND gpu_time = best_time THEN 'gpu-1' END) AS oracle_candidate_names,
+ array_to_string(list_sort(string_split(concat_ws(',', CASE WHEN cpu_feasible AND cpu_time = best_time THEN cpu_ids END, CASE WHEN gpu_feasible AND gpu_time = best_time THEN gpu_ids END), ',')), ';') AS oracle_source_record_ids,
+ round(best_time, 8) AS oracle_wall_time_s, round(t, 8) AS selected_wall_time_s, round(normalized_runtime, 8) AS normalized_runtime, round(normalized_regret, 8) AS normalized_regret, round(sc, 8) AS speedup_vs_fixed_cpu, round(sg, 8) AS speedup_vs_fixed_gpu,
+ coalesce(t = best_time, FALSE) AS selection_correct, coalesce(normalized_runtime <= 1.05e0, FALSE) AS within_5pct_oracle, valid, FALSE AS failure, invalid_reason, round(predicted_cpu, 8) AS predicted_cpu, round(predicted_gpu, 8) AS predicted_gpu
+FROM predictions p JOIN sided USING (family_id, problem_instance) LEFT JOIN guesses g ON g.family_id = p.family_id AND g.problem_instance = p.problem_instance AND g.policy = p.policy""", PREDICTIONS + SIDES))
 def r07(spark, sf_dir):
-    return reports.prediction_export(predictions(spark, sf_dir)).select("instance_id", "policy", "selected", "valid")
+    return rounded(reports.prediction_export(predictions(spark, sf_dir)))
+
+
+SUMMARY_ORDER = " ".join(f"WHEN '{p}' THEN {i + 1}" for i, p in enumerate(P.POLICIES))
+
+
+@register("r07_summary_export", duck(f"""
+SELECT scope, family_id AS heldout_family_id, policy, CAST(CASE policy {SUMMARY_ORDER} END AS BIGINT) AS policy_order, instances_total AS requested_instances, valid_instances, invalid_instances, failure_count AS failure_instances, invalid_rate, failure_rate,
+ selection_accuracy, within_5pct_rate AS within_5pct_oracle_rate, geomean_selected_over_best AS selected_over_oracle, geomean_best_over_selected AS oracle_over_selected, regret_max,
+ geomean_speedup_cpu AS speedup_vs_fixed_cpu, geomean_speedup_gpu AS speedup_vs_fixed_gpu, regret_median, regret_p90 FROM ({{BOTH}})""".replace("{BOTH}", BOTH), PREDICTIONS))
+def r07_summary(spark, sf_dir):
+    return rounded(reports.policy_summary(metrics(spark, sf_dir), P.POLICIES))
 
 
 @register("r10_ablation", duck(f"SELECT * FROM ({BOTH}) WHERE policy IN ('static_size_threshold', 'size_only_tree', 'full_tree')", PREDICTIONS))

@@ -128,8 +128,11 @@ def balanced_dataset(
     return good, bad
 
 
-def pairs(balanced: DataFrame, carry: Sequence[str] = ("n_configurations",)) -> DataFrame:
-    """One row per instance: both medians, feasibility of both, oracle columns."""
+def pairs(balanced: DataFrame, carry: Sequence[str] = ("n_configurations",), sides: Sequence[str] = ()) -> DataFrame:
+    """One row per instance: both medians, feasibility of both, oracle columns.
+
+    ``carry`` are columns of the instance, ``sides`` columns wanted of both candidates.
+    """
     c = F.col
     fits = feasible(
         c("backend"), c("host_guard_bytes"), c("gpu_host_guard_bytes"), c("gpu_guard_bytes"),
@@ -144,6 +147,7 @@ def pairs(balanced: DataFrame, carry: Sequence[str] = ("n_configurations",)) ->
         side(CPU, c("median_wall_time_s")).alias("cpu_time"),
         side(GPU, c("median_wall_time_s")).alias("gpu_time"),
         side(CPU, fits).alias("cpu_feasible"), side(GPU, fits).alias("gpu_feasible"),
+        *[side(name, c(x)).alias(f"{p}_{x}") for x in sides for p, name in (("cpu", CPU), ("gpu", GPU))],
     )
     best = F.least(
         F.when(c("cpu_feasible"), c("cpu_time")), F.when(c("gpu_feasible"), c("gpu_time"))
@@ -353,9 +357,11 @@ def select_threshold(size: Column, kind: Column, threshold: Column) -> Column:
 # -- predictions and metrics ---------------------------------------------------
 
 
-def predict_policies(pairs_: DataFrame, decisions: dict[str, Column]) -> DataFrame:
+def predict_policies(pairs_: DataFrame, decisions: dict[str, Column], carry: Sequence[str] = ()) -> DataFrame:
     """One row per instance and policy; a narrow projection, no join, no shuffle.
 
+    ``carry`` are further columns of ``pairs_`` to keep.
+
     ``decisions`` maps each policy to a Column over ``pairs_`` (joined fold models
     included) that names its candidate or is NULL.
     """
@@ -388,7 +394,7 @@ def predict_policies(pairs_: DataFrame, decisions: dict[str, Column]) -> DataFra
         F.when(valid, c("gpu_time") / time).alias("speedup_vs_fixed_gpu"),
         (valid & F.array_contains("best_names", decided)).alias("selection_correct"),
         (valid & (runtime <= 1.05)).alias("within_5pct_oracle"),
-        valid.alias("valid"), F.lit(False).alias("failure"), reason.alias("invalid_reason"),
+        valid.alias("valid"), F.lit(False).alias("failure"), reason.alias("invalid_reason"), *carry,
     )
 
 

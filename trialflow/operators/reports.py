@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialflow.functions.stats import mib, pct, ratio
+from trialflow.operators.policy import CPU, FULL_TREE, GPU, SIZE_TREE
 from trialflow.operators.timing import WORKLOAD, eligible
 
 
@@ -81,20 +82,39 @@ def ablation(summary_: DataFrame, learned: Sequence[str]) -> DataFrame:
     return summary_.where(F.col("policy").isin(*learned))
 
 
-def prediction_export(predictions: DataFrame) -> DataFrame:
-    """Prediction rows as flat text-ready columns; absent selections become empty."""
+def prediction_export(predictions: DataFrame, provenance: Sequence[str] = ()) -> DataFrame:
+    """Prediction rows as flat text-ready columns; lists are joined, absent selections empty.
+
+    Needs the columns that a full prediction carries: the input hash, the record ids of
+    both candidates, the names of the best ones and the predictions of the trees.
+    """
+    c = F.col
+    joined = lambda column: F.array_join(F.array_sort(column), ";")
+    chosen = F.when(c("selected_candidate_name") == CPU, c("cpu_source_record_ids")).when(
+        c("selected_candidate_name") == GPU, c("gpu_source_record_ids"))
+    none = F.array().cast("array<string>")
+    best = F.concat(*[F.when(F.array_contains("best_names", name), c(f"{p}_source_record_ids")).otherwise(none) for p, name in (("cpu", CPU), ("gpu", GPU))])
+    predicted = F.when(c("policy") == SIZE_TREE, c(f"{SIZE_TREE}_predictions")).when(c("policy") == FULL_TREE, c(f"{FULL_TREE}_predictions"))
     return predictions.select(
-        F.concat_ws("::", "family_id", "problem_instance").alias("instance_id"), "policy",
-        F.coalesce("selected_candidate_name", F.lit("")).alias("selected"),
-        "selected_wall_time_s", "oracle_wall_time_s", "normalized_runtime", "normalized_regret",
-        "selection_correct", "within_5pct_oracle", "valid", "failure", "invalid_reason",
+        c("family_id").alias("fold_id"), c("family_id").alias("heldout_family_id"), "policy", "family_id", *provenance,
+        F.concat_ws("::", "family_id", "problem_instance").alias("instance_id"), "problem_instance", "input_sha256", "n_configurations",
+        "decision_candidate_name", F.coalesce("selected_candidate_name", F.lit("")).alias("selected_candidate_name"),
+        joined(F.coalesce(chosen, none)).alias("selected_source_record_ids"), joined("best_names").alias("oracle_candidate_names"),
+        joined(best).alias("oracle_source_record_ids"), "oracle_wall_time_s", "selected_wall_time_s", "normalized_runtime", "normalized_regret",
+        "speedup_vs_fixed_cpu", "speedup_vs_fixed_gpu", "selection_correct", "within_5pct_oracle", "valid", "failure", "invalid_reason",
+        predicted[CPU].alias("predicted_cpu"), predicted[GPU].alias("predicted_gpu"),
     )
 
 
 def policy_summary(metrics: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Policy summary in registered policy order, pooled scope first."""
+    """Policy summary export: pooled scope first, then families, policies in registered order."""
+    names = {
+        "family_id": "heldout_family_id", "instances_total": "requested_instances", "failure_count": "failure_instances",
+        "within_5pct_rate": "within_5pct_oracle_rate", "geomean_selected_over_best": "selected_over_oracle", "geomean_best_over_selected": "oracle_over_selected",
+        "geomean_speedup_cpu": "speedup_vs_fixed_cpu", "geomean_speedup_gpu": "speedup_vs_fixed_gpu",
+    }
     rank = F.array_position(F.array(*[F.lit(p) for p in order]), F.col("policy"))
-    return metrics.orderBy(F.desc("scope"), "family_id", rank)
+    return metrics.orderBy(F.desc("scope"), "family_id", rank).withColumn("policy_order", rank.cast("bigint")).withColumnsRenamed(names)
 
 
 def attest(

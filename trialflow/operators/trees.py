@@ -283,7 +283,11 @@ def picked_by_fold(candidates: DataFrame, models: DataFrame, is_feasible: Column
     """One row per instance: the feasible candidate with the least prediction of each feature set's tree.
 
     ``names`` maps feature sets to output columns; without a feasible candidate they are NULL.
+    ``<column>_predictions`` has the predictions of the candidates by name.
     """
     scored = predicted_by_fold(candidates.withColumn("_ok", F.coalesce(is_feasible, F.lit(False))), models, fold_column)
     return scored.groupBy(*INSTANCE).agg(*[
-        F.min(F.when(F.col("_ok") & (F.col("feature_set") == k), F.struct("predicted", "candidate_name")))["candidate_name"].alias(v) for k, v in names.items()])
+        F.min(F.when(F.col("_ok") & (F.col("feature_set") == k), F.struct("predicted", "candidate_name")))["candidate_name"].alias(v) for k, v in names.items()], *[
+        # an instance has its registered candidates only
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("feature_set") == k, F.struct("candidate_name", "predicted"))))).alias(f"{v}_predictions")
+        for k, v in names.items()])
