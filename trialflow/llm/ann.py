@@ -24,6 +24,8 @@ SAMPLE, CALIBRATION = 20_000, 128
 BRANCHES, LEAF_ROWS = 12, 60
 RECALL = 0.97
 ROW_BLOCK = 1024
+#: neighbours that a task holds before it merges them
+MERGED = 1 << 19
 
 
 @dataclass
@@ -226,13 +228,31 @@ def _of_length(rows: DataFrame, asked: DataFrame, k: int, recall: float, sample:
                 yield pd.DataFrame({"leaf": np.concatenate(seen).astype("int32"), "query_id": np.repeat(part["id"].to_numpy(), times),
                                     "q": [b for q, n in zip(vs, times, strict=True) for b in [q.tobytes()] * n]})
 
+    def first_k(found):
+        query, other, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((other, d, query))
+        query, other, d = query[order], other[order], d[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return query[keep], other[keep], d[keep]
+
     def opened(batches):
+        # the k best of each query over all leaves that a task opens, merged as they grow
+        found, size = [], 0
         for pdf in batches:
             for row in pdf.itertuples():
                 ci, cv = arrays(row.ids, row.vs)
                 qi, q = arrays(row.q_ids, row.qs)
                 a, b, d = _nearest(qi, q, ci, cv, k)
-                yield pd.DataFrame({"query_id": qi[a], "vec_id": ci[b], "score": d})
+                found.append((qi[a], ci[b], d))
+                size += len(a)
+                if size > MERGED:
+                    found = [first_k(found)]
+                    size = len(found[0][0])
+                    if size > MERGED // 2:
+                        yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found[0], strict=True)))
+                        found, size = [], 0
+        if found:
+            yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), first_k(found), strict=True)))
 
     def grouped(pdf):
         return pd.DataFrame({"leaf": [pdf["leaf"].iloc[0]], "q_ids": [pdf["query_id"].to_numpy("int64").tobytes()], "qs": [b"".join(pdf["q"])]})
