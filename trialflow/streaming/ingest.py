@@ -15,10 +15,13 @@ BATCH = "ingest_batch"
 
 
 def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The stored table, None before its first batch; any other failure of the read is raised."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def append_new(
