@@ -336,3 +336,21 @@ def test_neighbours_of_every_length_and_past_small_leaves(spark):
         near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), i) for i, w in rows if i is not None and w is not None and len(w) == len(v) and i not in (q, 2000, 2100))
         assert [r for r, _, _ in sorted(found)] == list(range(1, 11))
         assert q == 400 or [i for _, i, _ in sorted(found)] == [i for _, i in near[:10]]
+
+
+@pytest.mark.parametrize("large", [1e6, 2e7, 1e12, 1e20, 1e300])
+def test_top_k_is_exact_for_large_components(spark, large):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 3)) * 40
+    x[:, 0] = large + rng.integers(0, 3, 60)
+    x[7, 0] = -large
+    rows = [(i, v.tolist(), 5, "z") for i, v in enumerate(x)] + [(5, x[5].tolist(), 5, "z"), (90, [float("inf")] * 3, 5, "z")]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, cb int, g string")
+    got = {}
+    for r in topk.top_k(frame, frame.where("vec_id % 20 = 0"), 4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = [(i, [math.floor(256 * c) for c in v]) for i, v, *_ in rows[:-1]]
+    most = 2**63 - 1
+    for q in (0, 20, 40):
+        scores = sorted((-max(-most, min(most, sum(a * b for a, b in zip(v, dict(whole)[q])))), i) for i, v in whole if i != q)
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores[:4])]

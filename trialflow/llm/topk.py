@@ -10,12 +10,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialflow.session import materialized
 
 QUERY_BLOCK, ROW_BLOCK, BINS = 512, 2048, 256
+#: groups of candidate blocks; a query block is copied to each, so it meets them in as many tasks
+GROUPS = 32
+#: float64 products are exact below the first, 64-bit ones below the second
+FLOATS, LONGS = 1 << 53, (1 << 63) - 1
 
 
 def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
@@ -25,6 +29,11 @@ def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0").where(~bad)
 
 
+def whole_number(x: Column) -> Column:
+    """floor of a double as a double; from 2**52 on a double has no fraction."""
+    return F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)
+
+
 def packed(rows: DataFrame, block: int, count: int, name: str) -> DataFrame:
     """Blocks of about ``block`` rows: ``name``, ids and the vectors as one binary each."""
     blocks = max(1, -(-count // block))
@@ -66,8 +75,11 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, ke
     components take no part, nor do null ids; vectors of another length than a query's are
     no candidates for it. Repeated rows are candidates each, a repeated query counts once
     (with its smallest vector). Fewer candidates than k give all; empty tables an empty result.
+    Products are exact: in float64 while they stay below 2**53, in 64-bit integers while they
+    fit those, else in unbounded integers; a score beyond a long counts as the largest or
+    smallest one.
     """
-    whole = lambda df: usable(df, key, vector).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    whole = lambda df: usable(df, key, vector).select("id", F.transform("v", lambda x: whole_number(x * scale)).alias("v"))
     rows = materialized(whole(table))
     asked = materialized(whole(queries).groupBy("id").agg(F.min("v").alias("v")))
     n, m = rows.count(), asked.count()
@@ -83,10 +95,14 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, ke
 
 
 def _one_length(rows: DataFrame, asked: DataFrame, n: int, m: int, k: int) -> DataFrame:
-    # |inner product| <= largest query norm * largest row norm
+    # |inner product| <= largest query norm * largest row norm, with room for their rounding
     norm = lambda df: df.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
-    bound = int((norm(asked) or 0) ** 0.5 * (norm(rows) or 0) ** 0.5) + 2
+    most = (norm(asked) or 0) ** 0.5 * (norm(rows) or 0) ** 0.5 * (1 + 1e-9)
+    exact = int(most) + 2 if np.isfinite(most) else 2 * LONGS
+    bound = min(exact, LONGS)
     qs, cs = grid(asked, rows, m, n)
+    groups = F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("g")
+    cs, qs = cs.withColumn("g", F.col("cb") % GROUPS), qs.select("*", groups)
     span = 2 * bound + 1
     width = max(1, -(-span // BINS))
     spans = materialized(asked.select(F.col("id").alias("query_id"), F.lit(-bound).cast("bigint").alias("lo"), F.lit(0).cast("bigint").alias("above")).dropDuplicates(["query_id"]))
@@ -98,23 +114,31 @@ def _one_length(rows: DataFrame, asked: DataFrame, n: int, m: int, k: int) -> Da
             pdf = pdf.sort_values("query_id")
             return pd.DataFrame({"qb": [pdf["qb"].iloc[0]], "keys": [pdf["query_id"].to_numpy("int64").tobytes()], "los": [pdf["lo"].to_numpy("int64").tobytes()]})
 
-        return cs.join(qs.select("qb", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs")), "qb").join(
-            per.groupBy("qb").applyInPandas(pack, "qb int, keys binary, los binary"), "qb")
+        los = per.groupBy("qb").applyInPandas(pack, "qb int, keys binary, los binary").select("*", groups)
+        asks = qs.select("qb", "g", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs")).join(los, ["qb", "g"])
+        return cs.join(asks, ["qb", "g"])
 
     def scored(row):
         qi, qv = arrays(row.q_ids, row.q_vs)
         ci, cv = arrays(row.ids, row.vs)
         lo = np.frombuffer(row.los, np.int64)[np.searchsorted(np.frombuffer(row.keys, np.int64), qi)]
-        return qi, ci, lo, (qv @ cv.T).astype(np.int64)
+        if exact < FLOATS:
+            return qi, ci, lo, (qv @ cv.T).astype(np.int64)
+        if exact <= LONGS:
+            # sums may wrap on the way, the result fits
+            return qi, ci, lo, qv.astype(np.int64) @ cv.T.astype(np.int64)
+        whole = np.array([[int(x) for x in v] for v in qv], object) @ np.array([[int(x) for x in v] for v in cv], object).T
+        return qi, ci, lo, np.clip(whole, -LONGS, LONGS).astype(np.int64)
 
     def histogram(width, span):
         def run(batches):
             for pdf in batches:
                 for row in pdf.itertuples():
                     qi, ci, lo, s = scored(row)
-                    past = s - lo[:, None]
-                    bin_ = past // width
-                    ok = (past >= 0) & (past < span) & (ci[None, :] != qi[:, None])
+                    # the distance of two longs fits 64 bits without a sign
+                    past = s.astype(np.uint64) - lo.astype(np.uint64)[:, None]
+                    bin_ = (past // np.uint64(width)).astype(np.int64)
+                    ok = (s >= lo[:, None]) & (past <= np.uint64(span - 1)) & (ci[None, :] != qi[:, None])
                     q, c = np.nonzero(ok)
                     n = np.bincount(q * BINS + bin_[q, c], minlength=len(qi) * BINS)
                     at = np.flatnonzero(n)
@@ -128,7 +152,7 @@ def _one_length(rows: DataFrame, asked: DataFrame, n: int, m: int, k: int) -> Da
         ranked = counts.withColumn("upto", F.sum("n").over(down)).join(spans, "query_id")
         # the highest bin whose scores, with those above, reach k; else the lowest of all
         found = ranked.where(F.col("upto") + F.col("above") >= k).groupBy("query_id").agg(
-            F.max_by(F.struct((F.col("lo") + F.col("bin") * width).alias("lo"), (F.col("above") + F.col("upto") - F.col("n")).alias("above")), "bin").alias("x"))
+            F.max_by(F.struct((F.col("lo") + F.col("bin").cast("decimal(20,0)") * F.lit(width).cast("decimal(20,0)")).cast("bigint").alias("lo"), (F.col("above") + F.col("upto") - F.col("n")).alias("above")), "bin").alias("x"))
         spans = materialized(spans.join(found, "query_id", "left").select(
             "query_id", F.coalesce("x.lo", "lo").alias("lo"), F.coalesce("x.above", "above").alias("above")))
         if width == 1:
