@@ -284,18 +284,21 @@ def _terminator(line: Column) -> Column:
 def split_integral_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(headers(file, text), body(file, pos, line), violations(file, rule))``.
 
-    The header ends at the first terminator. Body lines stay rows, however long a file
-    is; only the header lines of a file are put together.
+    The first line that is not blank must begin the namelist, which ends at the first
+    terminator. Body lines stay rows, however long a file is; only the header lines of a
+    file are put together.
     """
     marked = lines.withColumn("_cut", _terminator(F.col("line")))
     ends = marked.groupBy("file").agg(
         F.min(F.when(F.col("_cut") > 0, F.col("pos"))).alias("_end"),
-        F.min(F.when(F.upper("line").contains("&FCI"), F.col("pos"))).alias("_start"),
+        F.min(F.when(F.upper("line").rlike(r"^\s*&FCI"), F.col("pos"))).alias("_start"),
+        F.min(F.when(F.col("line").rlike(r"\S"), F.col("pos"))).alias("_first"),
     )
-    sound = F.coalesce((F.col("_start") <= F.col("_end")), F.lit(False))
+    sound = F.coalesce((F.col("_start") <= F.col("_end")) & (F.col("_start") == F.col("_first")), F.lit(False))
     bad = ends.where(~sound).select(
         "file",
-        F.when(F.col("_start").isNull(), "namelist_missing").otherwise("namelist_unterminated").alias("rule"),
+        F.when(F.col("_start").isNull(), "namelist_missing").when(F.col("_first") < F.col("_start"), "namelist_not_first")
+        .otherwise("namelist_unterminated").alias("rule"),
     )
     placed = keyed_join(marked, ends.where(sound), ["file"], "inner", null_keys=False)
     head = placed.where((F.col("pos") >= F.col("_start")) & (F.col("pos") <= F.col("_end"))).select(
