@@ -11,9 +11,12 @@ only those with one are scored; that changes no result.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from itertools import groupby
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,30 +102,37 @@ def candidates(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "of_text", "paragraph", F.lit(1).alias("lines"), "line").unionByName(passages(docs))
 
 
-def _adding(weights: Column):
-    return lambda s, t: s + F.coalesce(F.try_element_at(weights, t), F.lit(0.0))
-
-
+@dataclass
 class Classifier:
-    """Weights per family, as literals for column expressions."""
+    """The fitted term vectors and regression, both JVM models, and the calibrated temperature."""
 
-    def __init__(self, names: list[str], bias: list[float], weights: list[dict], temperature: float):
-        self.names, self.bias, self.weights, self.temperature = names, bias, weights, temperature
+    names: list[str]
+    vectors: CountVectorizerModel
+    regression: LogisticRegressionModel
+    temperature: float = 1.0
 
     def used(self) -> list[str]:
         """Terms that speak for a family or against none.
 
         Without any of these, no family has more than its bias and none has that at least.
         """
-        return sorted({t for w in self.weights[1:] for t, x in w.items() if x > 0} | {t for t, x in self.weights[0].items() if x < 0})
+        weights = self.regression.coefficientMatrix.toArray()
+        tells = (weights[1:] > 0).any(axis=0) | (weights[0] < 0)
+        return sorted(self.vectors.vocabulary[j] for j in tells.nonzero()[0])
 
-    def logits(self, column: Column) -> Column:
-        """Array of the families' scores for an array of terms."""
-        out = []
-        for b, w in zip(self.bias, self.weights, strict=True):
-            known = F.create_map(*[F.lit(x) for kv in w.items() for x in kv]) if w else None
-            out.append(F.lit(float(b)) if known is None else F.aggregate(column, F.lit(float(b)), _adding(known)))
-        return F.array(*out)
+    def pattern(self) -> str:
+        """A pattern that finds one of the used terms in a text in lower case, grouped by first letter."""
+        parts = []
+        for first, some in groupby(self.used(), key=lambda t: t[0]):
+            rest = "|".join(t[1:].replace(" ", "[^a-z0-9]+") for t in sorted(some, reverse=True))
+            parts.append(f"{first}(?:{rest})")
+        # without any used term the pattern matches nothing
+        return f"(?<![a-z0-9])(?:{'|'.join(parts) or '(?!)'})(?![a-z0-9])"
+
+    def logits(self, rows: DataFrame) -> DataFrame:
+        """Rows with a column ``z``, the array of the families' scores, instead of ``terms``."""
+        raw = self.regression.transform(self.vectors.transform(rows))
+        return raw.withColumn("z", vector_to_array("rawPrediction")).select(*[c for c in rows.columns if c != "terms"], "z")
 
 
 def softmax(logits: Column, temperature: float) -> Column:
@@ -131,12 +141,27 @@ def softmax(logits: Column, temperature: float) -> Column:
     return F.transform(raw, lambda x: x / total)
 
 
+def _sampled_lines(docs: DataFrame, most: int) -> DataFrame:
+    """Distinct lines and passages of up to ``most`` texts by hash, and of as many that hold words of licences.
+
+    Texts are chosen by their hashes alone, so that copies count once and no task holds
+    more than a bounded number of them.
+    """
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
+    own = F.xxhash64(F.lit(5), "text")
+    seen = texts.select(own.alias("h"), F.lower("text").rlike(TELLING).alias("telling")).distinct()
+    chosen = seen.orderBy("h").limit(most).unionByName(seen.where("telling").orderBy("h").limit(most)).select("h").distinct()
+    # at most twice ``most`` hashes
+    few = texts.withColumn("h", own).join(F.broadcast(chosen), "h", "left_semi")
+    return candidates(few).where(F.length("line") > 0).select("line").distinct()
+
+
 def _examples(spark: SparkSession, docs: DataFrame, most: int) -> DataFrame:
     """line, family, held: templates under all notices, like sentences, and ordinary paragraphs."""
     rows = [(n + t + end, k, i % 4 == 3) for k, texts in FAMILIES.items() for t in texts for i, (n, end) in enumerate([(n, e) for n in NOTICES for e in ("", ".")])]
     rows += [(x + e, "none", i % 4 == 3) for i, (x, e) in enumerate([(x, e) for x in OTHER for e in ("", ".", " and so on")])]
     known = spark.createDataFrame(rows, "line string, family string, held boolean")
-    every = candidates(docs).where(F.length("line") > 0).select("line", F.xxhash64(F.lit(5), "line").alias("h"))
+    every = _sampled_lines(docs, most).select("line", F.xxhash64(F.lit(5), "line").alias("h"))
     telling, low = F.lower("line").rlike(TELLING), F.lower("line")
     mine = F.array_distinct(words(F.col("line")))
     like = F.greatest(*[F.size(F.array_intersect(own, mine)) / F.size(own) for own in (F.array_distinct(words(F.lit(t))) for texts in FAMILIES.values() for t in texts)])
@@ -162,10 +187,8 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> Classifier:
     learn = vectors.transform(rows.where("NOT held")).join(F.broadcast(sizes), "label").select("label", "features", "weight").coalesce(1).persist()
     model = LogisticRegression(family="multinomial", weightCol="weight", regParam=4e-3, elasticNetParam=1.0, maxIter=60).fit(learn)
     learn.unpersist()
-    matrix, bias, words_ = model.coefficientMatrix.toArray(), list(model.interceptVector), vectors.vocabulary
-    weights = [{words_[j]: float(row[j]) for j in (abs(row) > 1e-6).nonzero()[0]} for row in matrix]
-    found = Classifier(names, bias, weights, 1.0)
-    unseen = materialized(rows.where("held").select(F.col("y").cast("int").alias("y"), found.logits(F.col("terms")).alias("z")))
+    found = Classifier(names, vectors, model)
+    unseen = materialized(found.logits(rows.where("held").select(F.col("y").cast("int").alias("y"), "terms")))
     steps = (0.5, 0.7, 1.0, 1.4, 2.0)
     loss = [F.avg(-F.log(F.greatest(F.element_at(softmax(F.col("z"), t), F.col("y")), F.lit(1e-12)))) for t in steps]
     got = unseen.agg(*[x.alias(f"l{i}") for i, x in enumerate(loss)]).first()
@@ -187,22 +210,10 @@ def license_paragraphs(docs: DataFrame, model: Classifier) -> DataFrame:
     that reaches ``CONFIRMED``. Null and empty texts have no licence paragraphs, repeated
     rows report each, other columns are ignored, an empty table gives an empty result.
     """
-    used = model.used()
-    singles = {t for t in used if " " not in t}
-    pairs = [t.split(" ") for t in used if " " in t and not singles & set(t.split(" "))]
-
-    def touched(column: Column) -> Column:
-        low, hit = F.lower(column), F.lit(False)
-        for a in sorted(singles):
-            hit = hit | low.contains(a)
-        for a, b in pairs:
-            hit = hit | (low.contains(a) & low.contains(b))
-        return hit
-
-    rows = candidates(docs.where(touched(F.col("text").cast("string")))).where(touched(F.col("line")))
-    rows = rows.withColumn("terms", terms(F.col("line"))).where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in used])))
+    holds = model.pattern()
+    rows = candidates(docs.where(F.lower(F.col("text").cast("string")).rlike(holds))).where(F.lower("line").rlike(holds))
     # few rows are left; written tables keep the long expressions apart
-    rows = materialized(materialized(rows).withColumn("z", model.logits(F.col("terms"))).drop("terms"))
+    rows = materialized(model.logits(rows.withColumn("terms", terms(F.col("line")))))
     rows = materialized(rows.withColumn("p", softmax(F.col("z"), model.temperature)).drop("z"))
     top = F.array_max("p")
     name = F.element_at(F.array(*[F.lit(n) for n in model.names]), F.array_position("p", top).cast("int"))
