@@ -307,6 +307,32 @@ def test_license_scan(spark, odd, empty, tables):
     assert licenses.license_paragraphs(odd, model).count() == 0 and licenses.license_paragraphs(empty, model).count() == 0
 
 
+def test_license_pattern_finds_what_the_terms_hold(spark, tables):
+    model = licenses.fit(tables["documents"])
+    lines = ["permission  IS granted", "permissions is", "xmit mit", "xmit", "CC-BY 4.0", "cc by\t-4", "thislicense", "", "the rights, reserved", "écharge", "copy; modify", "gnu", "GNU... general", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id int, line string")
+    docs = docs.unionByName(licenses.paragraphs(tables["documents"]).select(F.col("doc_id").cast("int"), "line"))
+    own = F.arrays_overlap(licenses.terms(F.col("line")), F.array(*[F.lit(t) for t in model.used()]))
+    got = docs.select(own.alias("own"), F.lower("line").rlike(model.pattern()).alias("found"))
+    assert got.where("NOT own <=> found").count() == 0 and got.where("found").count() > 5
+
+
+def test_licenses_planted_among_ordinary_paragraphs(spark, tables):
+    model = licenses.fit(tables["documents"])
+    planted = [(k, t) for k, texts in licenses.FAMILIES.items() for t in texts if k not in ("gpl-2.0", "lgpl")]
+    docs = table(spark, [(i, f"first words\n\nAvailable under {t}.\n\nlast words", "s") for i, (_, t) in enumerate(planted)] + [(900 + i, x, "s") for i, x in enumerate(licenses.OTHER)])
+    # copies are reported each, and a third of all rows may be one text
+    docs = docs.unionByName(table(spark, [(2000 + i, "Released under the MIT License.", "s") for i in range(30)]))
+    rows = licenses.license_paragraphs(docs, model).collect()
+    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in rows}
+    found = [got.get((i, 2)) == k for i, (k, _) in enumerate(planted)]
+    assert np.mean(found) >= 0.9
+    # a look-alike may be reported, as "version 3 of the report" is, but the templates never confirm it
+    assert not any(r["confirmed"] for r in rows if 900 <= r["doc_id"] < 2000)
+    assert sum(900 <= d < 2000 for d, _ in got) <= 1
+    assert all(got[2000 + i, 0] == "mit" for i in range(30))
+
+
 def test_license_of_wrapped_lines(spark, tables):
     model = licenses.fit(tables["documents"])
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met"
