@@ -29,3 +29,8 @@ def test_a_sound_document_is_parsed_once(spark):
     assert {r["text"]: r["fault"] for r in judged.collect()} == texts
     # one for every text, one for the rendering of a faulty one
     assert plan_of(judged).count("parseJson") <= 2
+
+
+@needs_tables
+def test_documents_land_compressed(spark):
+    assert all(f.endswith(".json.gz") for f in QUERIES["s03_directory_scan"](spark, FOLDER).inputFiles())
