@@ -34,3 +34,10 @@ def test_a_sound_document_is_parsed_once(spark):
 @needs_tables
 def test_documents_land_compressed(spark):
     assert all(f.endswith(".json.gz") for f in QUERIES["s03_directory_scan"](spark, FOLDER).inputFiles())
+
+
+@needs_tables
+def test_only_chosen_runs_become_documents(spark):
+    from queries.files import first_documents
+    plan = plan_of(first_documents(spark, FOLDER))
+    assert plan.index("Generate") < plan.index("LeftSemi")
