@@ -41,3 +41,23 @@ def test_only_chosen_runs_become_documents(spark):
     from queries.files import first_documents
     plan = plan_of(first_documents(spark, FOLDER))
     assert plan.index("Generate") < plan.index("LeftSemi")
+
+
+@pytest.mark.parametrize("width", [1, 5, 16, 24])
+def test_hamming_pairs_equal_brute_force_and_narrow_ones_are_looked_up(spark, width):
+    import random
+    from trialflow.operators import features as X
+    draw = random.Random(width)
+    texts = sorted({"".join(draw.choice("01") for _ in range(width)) for _ in range(60)})
+    rows = [(f, i, t) for f in ("f", "g") for i, t in enumerate(texts[: 20 if f == "g" else None])]
+    df = spark.createDataFrame(rows, "file string, pos long, bits string")
+    dist = lambda x, y: sum(a != b for a, b in zip(x, y))
+    pairs = {(f, i, j, dist(x, y)) for f, i, x in rows for g, j, y in rows if f == g and i != j and dist(x, y) <= 4}
+    near = X.hamming_neighbours(df, width)
+    assert sorted(map(tuple, near.collect())) == sorted(pairs)
+    odd = {p for p in pairs if texts[p[1]].count("1") != texts[p[2]].count("1")}
+    assert sorted(map(tuple, X.hamming_neighbours(df, width, unequal=True).collect())) == sorted(odd)
+    degrees = {(r["file"], r["node"]): (r["s"], r["d"]) for r in X.string_degrees(df, width).collect()}
+    assert degrees == {(f, i): tuple(sum(p[:2] == (f, i) and p[3] == k for p in pairs) for k in (2, 4)) for f, i, _ in rows}
+    # a join of bands compares each pair within a band; a lookup does not
+    assert ("l_band" in plan_of(near)) == (width == 24)

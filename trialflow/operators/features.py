@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,6 +145,35 @@ def pair_counts(strings: DataFrame, budget: int | None = None) -> DataFrame:
     return counts.withColumn("unordered_pair_comparisons", pairs).withColumn("within_budget", fits)
 
 
+#: possible neighbours up to which each is looked up; strings up to which the lookup is broadcast
+MOST_FLIPS, MOST_BROADCAST = 4_096, 4_000_000
+
+
+def _flipped(strings: DataFrame, width: int, distances: Sequence[int], budget: int | None = None, unequal: bool = False) -> DataFrame:
+    """Directed pairs at the given distances: every string with so many bits flipped, joined by value.
+
+    For widths of one word. The strings are broadcast up to a checked number, so the
+    flipped ones, many per string, are not shuffled; beyond it they are.
+    """
+    chosen = strings
+    if budget is not None:
+        small = pair_counts(strings, budget).where("within_budget").select("file")
+        chosen = keyed_join(strings, small, ["file"], "left_semi", null_keys=False)
+    nodes = chosen.select("file", F.col("pos").alias("node"), bit_words(F.col("bits"), width)[0].alias("word"))
+    tasks = nodes.sparkSession.sparkContext.defaultParallelism * 4
+    # one literal text: thousands of literals would take the planner longer than the join
+    masks = F.split(F.lit(",".join(str(sum(1 << i for i in bits)) for k in distances for bits in combinations(range(width), k))), ",").cast("array<bigint>")
+    flips = nodes.repartition(tasks, "file", "node").select("file", F.col("node").alias("a"), "word", F.explode(masks).alias("mask"))
+    if unequal:
+        # half of an even number of flips among the set bits keeps their number
+        flips = flips.where(F.bit_count(F.col("word").bitwiseAND(F.col("mask"))) * 2 != F.bit_count("mask"))
+    flips = flips.select("file", "a", F.col("word").bitwiseXOR(F.col("mask")).alias("word"), F.bit_count("mask").cast("bigint").alias("dist"))
+    found = nodes.withColumnRenamed("node", "b")
+    if found.count() <= MOST_BROADCAST:
+        found = F.broadcast(found)
+    return keyed_join(flips, found, ["file", "word"], null_keys=False).select("file", "a", "b", "dist")
+
+
 def hamming_neighbours(
     strings: DataFrame, width: int, radius: int = 4, budget: int | None = None, unequal: bool = False
 ) -> DataFrame:
@@ -152,7 +183,12 @@ def hamming_neighbours(
     bands are joined and a pair is kept at its first equal band only. A caller may set a
     budget of unordered pairs per file; files beyond it then take no part. ``unequal``
     keeps only pairs whose strings have different numbers of set bits.
+
+    Narrow strings have few possible neighbours (2,516 at 16 bits), so every one is looked
+    up by its value instead (:func:`_flipped`): a band of few bits is equal far too often.
     """
+    if sum(comb(width, k) for k in range(1, radius + 1)) <= MOST_FLIPS:
+        return _flipped(strings, width, range(1, radius + 1), budget, unequal)
     bands = radius + 1
     edges = [width * i // bands for i in range(bands + 1)]
     slices = [F.substring("bits", edges[i] + 1, edges[i + 1] - edges[i]) for i in range(bands)]
@@ -195,7 +231,15 @@ def string_degrees(strings: DataFrame, width: int) -> DataFrame:
     shares one key of the first kind and, with n set bits, n - 1 of the second. A group
     holds at most width squared strings. Only pairs with unequal numbers of set bits, in
     files that have such, are found by :func:`hamming_neighbours`.
+
+    Narrow strings are looked up with two and with four bits flipped instead.
     """
+    if 0 < sum(comb(width, k) for k in (2, 4)) <= MOST_FLIPS:
+        near = _flipped(strings, width, (2, 4))
+        counted = near.groupBy("file", F.col("a").alias("node")).agg(F.count_if(F.col("dist") == 2).alias("s"), F.count_if(F.col("dist") == 4).alias("d"))
+        zero = F.lit(0).cast("bigint")
+        none = strings.select("file", F.col("pos").alias("node"), zero.alias("s"), zero.alias("d"))
+        return none.unionByName(counted).groupBy("file", "node").agg(F.sum("s").alias("s"), F.sum("d").alias("d"))
     masks = [[(1 << (min(WORD_BITS, width - w) - 1 - (i - w))) if w <= i < w + WORD_BITS else 0 for w in range(0, width, WORD_BITS)] for i in range(width)]
     every = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in m]) for m in masks])
     at = F.filter(F.sequence(F.lit(1), F.lit(width)), lambda i: F.substring("bits", i, F.lit(1)) == "1")
