@@ -241,7 +241,7 @@ def scratch(spark, name):
 SELECT trial_id, CASE WHEN reasons = '' THEN 'true' ELSE 'false' END AS included, CASE WHEN reasons <> '' THEN reasons END AS exclusion_reasons, basis, candidate_name FROM classified""", CLASSIFIED))
 def s10(spark, sf_dir):
     path = scratch(spark, "timing-csv")
-    tables.write_csv(tables.timing_csv_rows(T.classify(rows(spark, sf_dir))), path)
+    tables.write_csv(tables.timing_csv_rows(T.classify(rows(spark, sf_dir))), path, "gzip")
     return spark.read.option("header", True).option("escape", '"').csv(path).select(
         "trial_id", "included", "exclusion_reasons", "basis", "candidate_name")
 

@@ -61,3 +61,8 @@ def test_hamming_pairs_equal_brute_force_and_narrow_ones_are_looked_up(spark, wi
     assert degrees == {(f, i): tuple(sum(p[:2] == (f, i) and p[3] == k for p in pairs) for k in (2, 4)) for f, i, _ in rows}
     # a join of bands compares each pair within a band; a lookup does not
     assert ("l_band" in plan_of(near)) == (width == 24)
+
+
+@needs_tables
+def test_timing_csv_is_compressed(spark):
+    assert all(f.endswith(".csv.gz") for f in QUERIES["s10_timing_csv"](spark, FOLDER).inputFiles())

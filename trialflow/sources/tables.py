@@ -57,8 +57,12 @@ def json_cells(df: DataFrame) -> DataFrame:
     ])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    """CSV with a header. A compressed file is one task when read, so such files stay small."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("compression", compression)
+    if compression != "none":
+        writer = writer.option("maxRecordsPerFile", 1_000_000)
+    writer.csv(path)
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> bool:
