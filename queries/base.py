@@ -60,6 +60,18 @@ def spread(df: DataFrame, least: int = 1 << 18, per_core: int = 8 << 20) -> Data
     return df
 
 
+def pieces(spark: SparkSession, sf_dir: str, name: str, *keys: str, piece: int = 4 << 20) -> DataFrame:
+    """A table dealt out by ``keys`` in parts of about ``piece`` bytes of its files.
+
+    The number of tasks grows with the table, what one of them holds does not. For steps
+    that make many rows of one or hold a split in memory; the shuffle is of plain columns.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = spark.sparkContext.defaultParallelism if size > 1 << 18 else 1
+    return df.repartition(max(least, -(-size // piece)), *keys)
+
+
 RUNS_SQL = """
 SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-',
               CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-',

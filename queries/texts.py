@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from queries.base import duck, load, register
+from queries.base import duck, load, pieces, register
 from queries.timing import rounded
 from trialflow.operators import features as X
 from trialflow.operators import logs
@@ -188,7 +188,7 @@ def a13(spark, sf_dir):
 # -- solver logs: one log per order ---------------------------------------------
 
 
-def log_lines(spark, sf_dir):
+def log_lines(orders):
     k = F.col("o_orderkey")
     lines = F.array_compact(F.array(
         F.when(k % 2 == 0, " rank 0 has device 0 "), F.lit("noise line"),
@@ -199,7 +199,7 @@ def log_lines(spark, sf_dir):
         F.when(k % 7 == 0, F.lit("Sample-based diagonalization: Energy = -1.0")),
         F.concat(F.lit("Sample-based diagonalization: density = [0.5, 1.25, "), (k % 16 / 16).cast("string"), F.when(k % 3 == 0, "").otherwise("]")),
         F.when(k % 11 == 0, F.lit("Elapsed time for mult 1.0 (sec)")), F.when(k % 22 == 0, F.lit("Elapsed time for mult 2.0 (sec)"))))
-    return load(spark, sf_dir, "orders").select(k.alias("file"), F.posexplode(lines).alias("pos", "line"))
+    return orders.select(k.alias("file"), F.posexplode(lines).alias("pos", "line"))
 
 
 @register("s07_log_scan", duck("""
@@ -209,7 +209,12 @@ SELECT file, kind, round(value, 6) AS value FROM (
  UNION ALL SELECT o_orderkey, 'solver_time_s', o_custkey / 4e0 FROM orders UNION ALL SELECT o_orderkey, 'energy', -o_totalprice FROM orders UNION ALL SELECT o_orderkey, 'energy', -1e0 FROM orders WHERE o_orderkey % 7 = 0
  UNION ALL SELECT o_orderkey, 'density', NULL FROM orders UNION ALL SELECT o_orderkey, 'post_solver_matvec_time_s', 1e0 FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT o_orderkey, 'post_solver_matvec_time_s', 2e0 FROM orders WHERE o_orderkey % 22 = 0)"""))
 def s07(spark, sf_dir):
-    return rounded(logs.parse_logs(log_lines(spark, sf_dir)).select("file", "kind", "value"), 6)
+    return rounded(logs.parse_logs(log_lines(load(spark, sf_dir, "orders"))).select("file", "kind", "value"), 6)
+
+
+def log_events(spark, sf_dir):
+    """Events of whole logs: orders are dealt out by log first, a dozen lines come of each."""
+    return logs.parse_logs(log_lines(pieces(spark, sf_dir, "orders", "o_orderkey", piece=1 << 20)))
 
 
 @register("a27_log_reduction", duck("""
@@ -218,7 +223,7 @@ SELECT o_orderkey AS file, CASE WHEN o_orderkey % 5 = 0 THEN 0.15e0 ELSE 2.5e-9
  round(0.5e0 + 1.25e0 + (o_orderkey % 16) / 16e0, 6) AS density_sum, o_orderkey % 3 = 0 AS density_bracket_repaired, o_orderkey % 2 = 0 AS device_assignment_seen, round(0.5e0 + (o_orderkey % 8) / 4e0, 6) AS initialization_time_s
 FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 22 <> 0"""))
 def a27(spark, sf_dir):
-    good, _ = logs.reduce_logs(logs.parse_logs(log_lines(spark, sf_dir)), 1e-8)
+    good, _ = logs.reduce_logs(log_events(spark, sf_dir), 1e-8)
     return good.select(
         "file", "final_residual", "converged", "iteration_records", "final_restart_index", "final_subspace_index", "energy",
         F.round(F.aggregate("density", F.lit(0.0), lambda a, x: a + x), 6).alias("density_sum"), "density_bracket_repaired",
@@ -228,7 +233,7 @@ def a27(spark, sf_dir):
 @register("a27_log_violations", duck("""
 SELECT o_orderkey AS file, 'energy_count' AS rule FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, 'post_solver_matvec_time_s_repeated' FROM orders WHERE o_orderkey % 22 = 0"""))
 def a27_bad(spark, sf_dir):
-    return logs.reduce_logs(logs.parse_logs(log_lines(spark, sf_dir)), 1e-8)[1]
+    return logs.reduce_logs(log_events(spark, sf_dir), 1e-8)[1]
 
 
 # -- resource samples: one sample per event, one trial per user ------------------

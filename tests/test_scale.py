@@ -66,3 +66,14 @@ def test_hamming_pairs_equal_brute_force_and_narrow_ones_are_looked_up(spark, wi
 @needs_tables
 def test_timing_csv_is_compressed(spark):
     assert all(f.endswith(".csv.gz") for f in QUERIES["s10_timing_csv"](spark, FOLDER).inputFiles())
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["a27_log_reduction", "a27_log_violations"])
+def test_logs_are_dealt_out_before_their_lines_are_made(spark, name):
+    from queries.base import pieces
+    plan = plan_of(QUERIES[name](spark, FOLDER))
+    # the one shuffle is of orders; events are reduced where they are made
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("REPARTITION_BY_NUM")
+    parts = [pieces(spark, FOLDER, "orders", "o_orderkey", piece=p).rdd.getNumPartitions() for p in (1 << 15, 1 << 13)]
+    assert parts[1] > 3 * parts[0] - 4 and parts[0] > 1
