@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from queries.base import DUCK_ACCEPTED, DUCK_RUNS, ELIGIBLE, duck, eligible_runs, load, register, runs
+from queries.base import DUCK_ACCEPTED, DUCK_RUNS, ELIGIBLE, duck, eligible_runs, instance_runs, load, pieces, register, runs
 from queries.timing import CLASSIFIED, GROUPS, ROWS, grouped, rounded, rows
 from trialflow.functions.scaled import keyed_join
 from trialflow.functions.stats import pct
@@ -26,7 +26,7 @@ ordered AS (SELECT *, CAST(row_number() OVER (PARTITION BY campaign, phase, repe
 
 def plan(spark, sf_dir):
     nation = load(spark, sf_dir, "nation").withColumn("campaign", F.concat(F.lit("fam-"), F.col("n_nationkey").cast("string")))
-    workloads = load(spark, sf_dir, "part").select(
+    workloads = pieces(spark, sf_dir, "part", "p_partkey", piece=1 << 18).select(
         F.concat(F.lit("fam-"), (F.col("p_partkey") % 25).cast("string")).alias("campaign"),
         F.concat(F.lit("inst-"), F.col("p_partkey").cast("string")).alias("workload"), F.col("p_partkey").alias("position"))
     candidates = nation.select("campaign", F.explode(F.array(F.lit("cpu-16"), F.lit("gpu-1"))).alias("candidate"))
@@ -65,7 +65,7 @@ done AS (SELECT problem_instance, candidate_name, phase, CAST(repetition AS BIGI
 
 
 def done(spark, sf_dir):
-    return runs(spark, sf_dir).select("problem_instance", "candidate_name", "phase", F.col("repetition").cast("bigint").alias("repetition"))
+    return instance_runs(spark, sf_dir).select("problem_instance", "candidate_name", "phase", F.col("repetition").cast("bigint").alias("repetition"))
 
 
 def planned(spark, sf_dir):

@@ -143,6 +143,15 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(spark_text(RUNS_SQL), lineitem=load(spark, sf_dir, "lineitem"))
 
 
+def instance_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run rows dealt out by instance and line number.
+
+    Most rows of a group of an instance meet before the group's shuffle; an instance with
+    very many rows still lies in several parts.
+    """
+    return spark.sql(spark_text(RUNS_SQL), lineitem=pieces(spark, sf_dir, "lineitem", "l_partkey", "l_linenumber"))
+
+
 def eligible_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(spark, sf_dir).where(ELIGIBLE)
 

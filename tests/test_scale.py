@@ -77,3 +77,9 @@ def test_logs_are_dealt_out_before_their_lines_are_made(spark, name):
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("REPARTITION_BY_NUM")
     parts = [pieces(spark, FOLDER, "orders", "o_orderkey", piece=p).rdd.getNumPartitions() for p in (1 << 15, 1 << 13)]
     assert parts[1] > 3 * parts[0] - 4 and parts[0] > 1
+
+
+@needs_tables
+@pytest.mark.parametrize("name, tables", [("j04_completeness", 2)])
+def test_groups_of_instances_are_dealt_out_first(spark, name, tables):
+    assert plan_of(QUERIES[name](spark, FOLDER)).count("REPARTITION_BY_NUM") == tables
