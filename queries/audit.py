@@ -405,7 +405,7 @@ def a28_bad(spark, sf_dir):
 SELECT family_id, problem_instance, input_sha256, CAST(count(*) AS BIGINT) AS members, min(trial_id) AS first_member, max(trial_id) AS last_member, max(n_configurations) AS n_configurations,
  sha256(concat_ws(chr(0), family_id, problem_instance, input_sha256)) AS entry_id FROM runs GROUP BY family_id, problem_instance, input_sha256""", DUCK_RUNS))
 def a30(spark, sf_dir):
-    return audit.workload_entries(runs(spark, sf_dir), ["n_configurations"])[0]
+    return audit.workload_entries(instance_runs(spark, sf_dir), ["n_configurations"])[0]
 
 
 @register("a31_rederivation_audit", duck("""

@@ -80,6 +80,6 @@ def test_logs_are_dealt_out_before_their_lines_are_made(spark, name):
 
 
 @needs_tables
-@pytest.mark.parametrize("name, tables", [("j04_completeness", 2)])
+@pytest.mark.parametrize("name, tables", [("j04_completeness", 2), ("a30_workload_entries", 1)])
 def test_groups_of_instances_are_dealt_out_first(spark, name, tables):
     assert plan_of(QUERIES[name](spark, FOLDER)).count("REPARTITION_BY_NUM") == tables
