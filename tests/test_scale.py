@@ -83,3 +83,10 @@ def test_logs_are_dealt_out_before_their_lines_are_made(spark, name):
 @pytest.mark.parametrize("name, tables", [("j04_completeness", 2), ("a30_workload_entries", 1)])
 def test_groups_of_instances_are_dealt_out_first(spark, name, tables):
     assert plan_of(QUERIES[name](spark, FOLDER)).count("REPARTITION_BY_NUM") == tables
+
+
+@needs_tables
+def test_campaign_rows_meet_their_plan_while_narrow(spark):
+    plan = plan_of(QUERIES["f11_campaign_gate"](spark, FOLDER))
+    assert plan.count("REPARTITION_BY_NUM") == 3 and "BroadcastHashJoin" not in plan
+    assert "run_key" in plan[:plan.index("SortMergeJoin")] and "run_key" not in plan[plan.index("SortMergeJoin"):]
