@@ -90,3 +90,39 @@ def test_campaign_rows_meet_their_plan_while_narrow(spark):
     plan = plan_of(QUERIES["f11_campaign_gate"](spark, FOLDER))
     assert plan.count("REPARTITION_BY_NUM") == 3 and "BroadcastHashJoin" not in plan
     assert "run_key" in plan[:plan.index("SortMergeJoin")] and "run_key" not in plan[plan.index("SortMergeJoin"):]
+
+
+def ancestors(plan, text):
+    """Nodes of a plan's text above the first line that holds ``text``."""
+    lines = plan.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*")) for line in lines]
+    at = next(i for i, line in enumerate(lines) if text in line)
+    least, found = depth[at], []
+    for i in range(at - 1, -1, -1):
+        if depth[i] < least:
+            least = depth[i]
+            found.append(lines[i])
+    return found
+
+
+@needs_tables
+def test_trials_are_shuffled_once_for_their_evidence(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        above = ancestors(plan_of(QUERIES["j11_validation_evidence"](spark, FOLDER)), "AS trial_id")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sum("Exchange hashpartitioning" in line for line in above) == 1
+
+
+def test_evidence_of_unknown_and_null_inputs(spark):
+    from trialflow.operators import audit
+    trials = spark.createDataFrame(
+        [("a", "h", "k"), ("b", "h", "z"), ("c", "x", "k"), ("d", None, "k"), ("e", "h", None), ("f", "t", "k")],
+        "trial_id string, input_sha256 string, solver_key string").selectExpr("*", "1.0D AS reference_value", "'cpu' AS backend", "'s' AS artifact_sha256")
+    validated = spark.createDataFrame([("h", "k", 1.0), ("t", "k", 1.0), ("t", "k", 2.0), (None, "k", 1.0)], "input_sha256 string, solver_key string, reference_value double")
+    artifacts = spark.createDataFrame([("cpu", "s")], "backend string, artifact_sha256 string")
+    got = {r["trial_id"]: r["errors"] for r in audit.validation_evidence(trials, validated, artifacts).collect()}
+    assert got == {"a": [], "b": ["solver_not_validated"], "c": ["input_not_validated"], "d": ["input_not_validated"],
+                   "e": ["solver_not_validated"], "f": ["validated_more_than_once"]}

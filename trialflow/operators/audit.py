@@ -143,7 +143,10 @@ def validation_evidence(
     """Errors per trial against the validated inputs and candidate artifacts.
 
     ``trials`` and ``validated`` carry ``input_sha256, solver_key, reference_value`` and
-    the ``metadata`` columns; ``artifacts`` carries ``backend, artifact_sha256``.
+    the ``metadata`` columns; ``artifacts`` carries ``backend, artifact_sha256`` of the
+    registered candidates, few enough to broadcast.
+
+    What is known is looked up once per asked (input, solver); trials are shuffled once.
     """
     by_hash = validated.select("input_sha256").distinct().withColumn("_hash", F.lit(True))
     by_pair = validated.groupBy("input_sha256", "solver_key").agg(
@@ -151,11 +154,10 @@ def validation_evidence(
         *[F.max(c).alias(f"_v_{c}") for c in metadata],
     )
     known = artifacts.select("backend", "artifact_sha256").distinct().withColumn("_art", F.lit(True))
-    joined = (
-        trials.join(by_hash, "input_sha256", "left")
-        .join(by_pair, ["input_sha256", "solver_key"], "left")
-        .join(known, ["backend", "artifact_sha256"], "left")
-    )
+    pair = ["input_sha256", "solver_key"]
+    asked = trials.select(*pair).distinct().join(by_hash, "input_sha256", "left").join(by_pair, pair, "left")
+    # null-safe: a trial without a solver key still asks for its input
+    joined = keyed_join(trials.join(F.broadcast(known), ["backend", "artifact_sha256"], "left"), asked, pair, "left")
     one = F.coalesce(F.col("_n") == 1, F.lit(False))
     stated = finite(F.col("_reference"))
     errors = reasons([
