@@ -126,3 +126,23 @@ def test_evidence_of_unknown_and_null_inputs(spark):
     got = {r["trial_id"]: r["errors"] for r in audit.validation_evidence(trials, validated, artifacts).collect()}
     assert got == {"a": [], "b": ["solver_not_validated"], "c": ["input_not_validated"], "d": ["input_not_validated"],
                    "e": ["solver_not_validated"], "f": ["validated_more_than_once"]}
+
+
+@needs_tables
+def test_members_of_small_groups_take_one_shuffle(spark):
+    frame = QUERIES["a02_group_members"](spark, FOLDER)
+    frame.collect()
+    final = plan_of(frame).split("== Initial Plan ==")[0]
+    # one of hashes and counts, one of rows
+    assert final.count("Exchange hashpartitioning") <= 2
+
+
+@pytest.mark.parametrize("hot_rows", [0, 3, 100])
+def test_numbers_are_the_same_for_small_and_large_groups(spark, hot_rows):
+    from trialflow.functions.scaled import numbered_groups
+    sizes = {("a", 1): 7, ("a", None): 5, (None, 1): 3, ("b", 2): 1}
+    rows = [(*k, (i * 11) % n) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame([(k, j, v) for k, j, v in rows], "k string, j int, v int")
+    out = numbered_groups(df, ["k", "j"], ("v",), [F.floor(F.col("v") / 2)], "n", hot_rows)
+    assert sorted((r["v"], r["n"]) for r in out.collect()) == sorted((v, v + 1) for *_, v in rows) and out.count() == len(rows)
+    assert dict(out.dtypes)["n"] == "bigint"

@@ -278,6 +278,27 @@ def numbered(
     return running(df, keys, order, bucket, "sum", one, null_keys=null_keys)
 
 
+def numbered_groups(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Sequence[Column],
+    name: str,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """:func:`numbered` for many groups: those up to ``hot_rows`` by one plain window, one shuffle.
+
+    Large groups are found by counting 64-bit hashes of the keys; a small group that shares
+    its hash with others may go the way of the large ones, which gives the same numbers.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*keys))
+    hot = F.broadcast(hot_groups(hashed, ["_hash"], hot_rows))
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    small = hashed.join(hot, "_hash", "left_anti").drop("_hash").withColumn(name, position)
+    large = hashed.join(hot, "_hash", "left_semi").drop("_hash")
+    return small.unionByName(numbered(large, keys, order, bucket, name))
+
+
 def previous(
     df: DataFrame,
     keys: Sequence[str],

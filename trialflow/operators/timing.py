@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialflow.functions.scaled import HOT_ROWS, numbered, previous, summary
+from trialflow.functions.scaled import HOT_ROWS, numbered_groups, previous, summary
 from trialflow.functions.stats import finite, is_false, is_true, ratio
 from trialflow.operators.rules import Rule, needs, reasons, rule
 
@@ -169,7 +169,7 @@ def timing_members(
     """Members of each group numbered in (timestamp, id) order, as rows."""
     order = ("timestamp_utc", "trial_id")
     minute = F.substring("timestamp_utc", 1, 16)
-    out = numbered(included.select(*keys, *order), keys, order, [minute], "position")
+    out = numbered_groups(included.select(*keys, *order), keys, order, [minute], "position")
     return out.select(*keys, "position", "trial_id")
 
 
