@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from queries.base import DUCK_ACCEPTED, DUCK_RUNS, ELIGIBLE, duck, eligible_runs, instance_runs, load, pieces, register, runs
+from queries.base import DUCK_ACCEPTED, DUCK_RUNS, ELIGIBLE, RUNS_SQL, duck, eligible_runs, instance_runs, load, pieces, register, runs, spark_text
 from queries.timing import CLASSIFIED, GROUPS, ROWS, grouped, rounded, rows
 from trialflow.functions.scaled import keyed_join
 from trialflow.functions.stats import pct
@@ -218,14 +218,18 @@ PAIR_SQL = """, firsts AS (SELECT * FROM accepted), sides AS (SELECT family_id,
 
 
 def accepted(spark, sf_dir):
-    """First eligible attempt of every (instance, candidate, repetition)."""
-    keys = ["problem_instance", "candidate_name", "repetition"]
-    df = eligible_runs(spark, sf_dir).select(
-        *keys, "trial_id", "timestamp_utc", "family_id", "backend", "input_sha256", "n_configurations", "estimated_work",
-        "wall_time_s", "solver_time_s", "energy", "samples")
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("timestamp_utc", "trial_id")).alias("r"))
-    return picked.select(*keys, "r.*")
+    """First eligible attempt of every (instance, candidate, repetition).
+
+    It is picked among the table's own rows: sorted rows are narrow and sort by a number,
+    and only the picked ones get their texts and digests.
+    """
+    table = load(spark, sf_dir, "lineitem")
+    rows_ = spark.sql(spark_text(RUNS_SQL).replace("FROM {lineitem}", f", struct({', '.join(table.columns)}) AS row FROM {{lineitem}}"), lineitem=table)
+    picked = rows_.where(ELIGIBLE).groupBy("row.l_partkey", "candidate_name", "repetition").agg(
+        F.min_by("row", F.struct("started", "trial_id")).alias("first"))
+    return spark.sql(spark_text(RUNS_SQL), lineitem=picked.select("first.*")).select(
+        "problem_instance", "candidate_name", "repetition", "trial_id", "timestamp_utc", "family_id", "backend", "input_sha256",
+        "n_configurations", "estimated_work", "wall_time_s", "solver_time_s", "energy", "samples")
 
 
 @register("j05_backend_pairs", duck("SELECT family_id, problem_instance, repetition, cpu_wall_time_s, gpu_wall_time_s FROM sides WHERE cpu_rows = 1 AND gpu_rows = 1", DUCK_ACCEPTED + PAIR_SQL))

@@ -146,3 +146,27 @@ def test_numbers_are_the_same_for_small_and_large_groups(spark, hot_rows):
     out = numbered_groups(df, ["k", "j"], ("v",), [F.floor(F.col("v") / 2)], "n", hot_rows)
     assert sorted((r["v"], r["n"]) for r in out.collect()) == sorted((v, v + 1) for *_, v in rows) and out.count() == len(rows)
     assert dict(out.dtypes)["n"] == "bigint"
+
+
+@needs_tables
+def test_attempts_are_accepted_among_raw_rows(spark):
+    from queries.audit import accepted
+    from queries.policy import balanced
+    plan = plan_of(accepted(spark, FOLDER))
+    # digests are taken of accepted rows only
+    assert "sha2(" in plan and plan.index("sha2(") < plan.index("min_by(") and "sha2(" not in plan[plan.index("Exchange"):]
+    # one shuffle picks the attempts, one by instance serves the groups and windows after it
+    assert plan_of(balanced(spark, FOLDER)).count("Exchange hashpartitioning") == 2
+
+
+def test_equal_attempts_fall_to_the_first_by_time_then_id(spark, tmp_path):
+    import datetime
+    from queries.audit import accepted
+    day = lambda d: datetime.datetime(1995, 1, d)
+    # instance 5: an earlier day wins; instance 6: of one day the id that sorts first as text wins
+    rows = [(9, 5, 1, day(2)), (10, 5, 1, day(1)), (9, 6, 1, day(3)), (10, 6, 1, day(3)), (None, 6, 1, day(9))]
+    spark.createDataFrame([(o, p, s, 2, 20.0, 1000.0, 0.01, 0.01, "R", "O", d) for o, p, s, d in rows], (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double,"
+        " l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["problem_instance"]: r["trial_id"] for r in accepted(spark, str(tmp_path)).collect()}
+    assert got == {"inst-5": "10-2-5-1-100000", "inst-6": "10-2-6-1-100000"}
