@@ -217,17 +217,27 @@ PAIR_SQL = """, firsts AS (SELECT * FROM accepted), sides AS (SELECT family_id,
  CAST(count(*) FILTER (backend = 'gpu') AS BIGINT) AS gpu_rows, max(wall_time_s) FILTER (backend = 'cpu') AS cpu_wall_time_s, max(wall_time_s) FILTER (backend = 'gpu') AS gpu_wall_time_s FROM firsts GROUP BY ALL)"""
 
 
-def accepted(spark, sf_dir):
+#: columns of a run that an accepted attempt is made of
+ATTEMPT = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_linestatus, l_shipdate"
+
+
+def accepted(spark, sf_dir, by_instance=False):
     """First eligible attempt of every (instance, candidate, repetition).
 
     It is picked among the table's own rows: sorted rows are narrow and sort by a number,
-    and only the picked ones get their texts and digests.
+    and only the picked ones get their texts and digests. ``by_instance`` deals the picked
+    rows out by instance before that.
     """
-    table = load(spark, sf_dir, "lineitem")
-    rows_ = spark.sql(spark_text(RUNS_SQL).replace("FROM {lineitem}", f", struct({', '.join(table.columns)}) AS row FROM {{lineitem}}"), lineitem=table)
+    text = spark_text(RUNS_SQL)
+    instance = "concat('inst-', CAST(l_partkey AS STRING))"
+    rows_ = spark.sql(text.replace("FROM {lineitem}", f", struct({ATTEMPT}) AS row FROM {{lineitem}}"), lineitem=load(spark, sf_dir, "lineitem"))
     picked = rows_.where(ELIGIBLE).groupBy("row.l_partkey", "candidate_name", "repetition").agg(
         F.min_by("row", F.struct("started", "trial_id")).alias("first"))
-    return spark.sql(spark_text(RUNS_SQL), lineitem=picked.select("first.*")).select(
+    # tax and return flag told which rows are eligible; nothing below reads them
+    first = picked.selectExpr("first.*", "CAST(NULL AS DOUBLE) AS l_tax", "CAST(NULL AS STRING) AS l_returnflag", f"{instance} AS problem_instance")
+    if by_instance:
+        first = first.repartition("problem_instance")
+    return spark.sql(text.replace(f"{instance} AS problem_instance", "problem_instance"), lineitem=first).select(
         "problem_instance", "candidate_name", "repetition", "trial_id", "timestamp_utc", "family_id", "backend", "input_sha256",
         "n_configurations", "estimated_work", "wall_time_s", "solver_time_s", "energy", "samples")
 

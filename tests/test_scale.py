@@ -170,3 +170,38 @@ def test_equal_attempts_fall_to_the_first_by_time_then_id(spark, tmp_path):
         " l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")).write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r["problem_instance"]: r["trial_id"] for r in accepted(spark, str(tmp_path)).collect()}
     assert got == {"inst-5": "10-2-5-1-100000", "inst-6": "10-2-6-1-100000"}
+
+
+def test_equal_training_rows_are_counted_before_the_first_level(spark, monkeypatch):
+    from trialflow.operators import policy, trees
+    written = []
+    monkeypatch.setattr(trees, "materialized", lambda df: written.append(df.cache()) or written[-1])
+    rows = spark.range(400).select(
+        F.concat(F.lit("f"), (F.col("id") % 2).cast("string")).alias("family_id"), (F.col("id") % 5).cast("double").alias("log1p_n_configurations"),
+        (F.col("id") % 2).cast("double").alias("backend_gpu"), (F.col("id") % 7).cast("double").alias(trees.TARGET))
+    table = trees.grow_trees(rows, {"size_only": policy.SIZE_FEATURES}, max_depth=1).collect()
+    # 5 sizes in each of two families, 40 rows of each
+    assert written[0].count() == 10 and written[0].agg(F.sum("n")).first()[0] == 400
+    roots = {r["fold_id"]: (r["sample_count"], r["value"]) for r in table if r["node_id"] == 0}
+    assert roots.keys() == {"f0", "f1"}
+    for fold, odd in (("f0", 1), ("f1", 0)):
+        targets = [i % 7 for i in range(400) if i % 2 == odd]
+        assert roots[fold][0] == len(targets) and abs(roots[fold][1] - sum(targets) / len(targets)) < 1e-8
+
+
+@needs_tables
+def test_rows_for_metrics_hold_no_digest_and_picks_are_dealt_out_before_theirs(spark):
+    from queries.policy import balanced, modelled
+    lean, full = plan_of(modelled(spark, FOLDER, provenance=False)), plan_of(balanced(spark, FOLDER))
+    assert "sha2(" not in lean and "source_record_ids" not in lean
+    # texts are compared only to pick the attempts
+    assert "SortAggregate" not in lean[:lean.index("REPARTITION_BY_COL")]
+    assert "sha2(" in full and "sha2(" not in full[full.index("REPARTITION_BY_COL"):]
+
+
+@needs_tables
+def test_lean_rows_are_the_full_ones(spark):
+    from queries.policy import modelled
+    lean = modelled(spark, FOLDER, provenance=False)
+    full = modelled(spark, FOLDER).select(*lean.columns)
+    assert lean.count() and not lean.exceptAll(full).count() and not full.exceptAll(lean).count()

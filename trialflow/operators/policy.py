@@ -52,6 +52,7 @@ def balanced_dataset(
     constants: Sequence[str] = (),
     caps: Sequence[str] = ("host_cap_bytes", "gpu_cap_bytes"),
     repetitions: Sequence[int] = REPETITIONS,
+    digest: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """One median row per (instance, candidate), plus contract violations.
 
@@ -59,9 +60,12 @@ def balanced_dataset(
     every registered candidate, one input hash and one value of each ``constants``
     column. Caps are the minimum over the instance. All aggregates combine map-side,
     so no group is ever collected: the median comes from one cell per repetition.
+    ``digest=False`` leaves the input hash out, for rows whose hash is made of the
+    instance's own key and so cannot differ; without it and ids, no text is compared.
     """
     reps = list(repetitions)
-    same = ["input_sha256", *constants]
+    hashes = ["input_sha256"] if digest else []
+    same = [*hashes, *constants]
     aggregates = [F.count(F.lit(1)).alias("_n")]
     for r in reps:
         hit = F.col("repetition") == r
@@ -112,7 +116,7 @@ def balanced_dataset(
         (F.col("_broken") == 0) & (F.col("_candidates") == len(candidates)) & F.col("_agreed")
     )
     good = judged.where(whole).select(
-        *INSTANCE, "input_sha256", "candidate_name", "backend", *constants,
+        *INSTANCE, *hashes, "candidate_name", "backend", *constants,
         "median_wall_time_s",
         F.log1p("median_wall_time_s").alias("target_log1p_median_wall_time_s"),
         *caps, "source_record_ids",
@@ -412,6 +416,13 @@ def baseline_decisions(kind: str = "kind", threshold: str = "threshold") -> dict
     }
 
 
+#: what ``policy_metrics`` reads of a prediction
+METRIC_COLUMNS = (
+    "family_id", "policy", "valid", "failure", "selection_correct", "within_5pct_oracle",
+    "normalized_runtime", "normalized_regret", "speedup_vs_fixed_cpu", "speedup_vs_fixed_gpu",
+)
+
+
 def policy_metrics(predictions: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Metrics per policy, pooled and per family.
 

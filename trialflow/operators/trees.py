@@ -44,8 +44,8 @@ def _finite(column: str) -> Column:
     return F.when(sound, value).otherwise(F.raise_error(F.lit(f"{column} is not a finite number")).cast("double"))
 
 
-def _sums(*more: Column) -> list[Column]:
-    return [F.count(F.lit(1)).alias("n"), F.sum("y").cast("decimal(38,0)").alias("s"), *more]
+def _sums(*names: str) -> list[Column]:
+    return [F.sum(c).cast("bigint" if c == "n" else "decimal(38,0)").alias(c) for c in names]
 
 
 def _curves(nodes: DataFrame, placed: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -55,9 +55,9 @@ def _curves(nodes: DataFrame, placed: DataFrame, names: Sequence[str]) -> DataFr
     less that of its own family. Only these sums are taken once per fold.
     """
     entries = F.posexplode(F.col("x")).alias("feature", "value")
-    own = placed.select("region", "family", "y", entries).groupBy("region", "family", "feature", "value").agg(*_sums())
+    own = placed.select("region", "family", "n", "s", entries).groupBy("region", "family", "feature", "value").agg(*_sums("n", "s"))
     own = materialized(own)
-    whole = own.groupBy("region", "feature", "value").agg(F.sum("n").alias("n"), F.sum("s").cast("decimal(38,0)").alias("s"))
+    whole = own.groupBy("region", "feature", "value").agg(*_sums("n", "s"))
     wanted = nodes.select("fold_id", "region", F.explode("features").alias("feature")).distinct()
     left_out = own.select("region", F.col("family").alias("fold_id"), "feature", "value", F.col("n").alias("n0"), F.col("s").alias("s0"))
     rows = wanted.join(whole, ["region", "feature"]).join(left_out, ["region", "fold_id", "feature", "value"], "left")
@@ -98,7 +98,8 @@ def grow_trees(
     the fold of that name, which trains on every row, and ``held_out=False`` leaves only it.
     All folds and feature sets grow together, one level at a time. Folds that split alike
     share a region of the data, so rows are multiplied by different splits, not by folds,
-    and the level's job is one aggregate of rows and one pass over its sums.
+    and the level's job is one aggregate of rows and one pass over its sums. Rows with equal
+    features of one fold always go together, so they are counted and summed before the first level.
 
     A node splits while its variance is above ``PURE``, at the cut with the least squared
     error that leaves ``min_leaf`` rows on both sides; ties go to the earlier feature, then
@@ -109,8 +110,12 @@ def grow_trees(
     names = list(dict.fromkeys(f for features in feature_sets.values() for f in features))
     require_allowed(names)
     unit = F.round(_finite(TARGET) * UNITS).cast("decimal(19,0)")
+    square = (F.col("y") * F.col("y")).cast("decimal(38,0)")
     placed = materialized(rows.select(
-        F.col(fold_column).cast("string").alias("family"), F.array(*[_finite(f) for f in names]).alias("x"), unit.alias("y"), F.lit("").alias("region")))
+        F.col(fold_column).cast("string").alias("family"), F.array(*[_finite(f) for f in names]).alias("x"), unit.alias("y")
+    ).groupBy("family", "x").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").cast("decimal(38,0)").alias("s"), F.sum(square).cast("decimal(38,0)").alias("q")
+    ).withColumn("region", F.lit("")))
     folds = placed.where("family IS NOT NULL").select(F.col("family").alias("fold_id")).distinct() if held_out else placed.select(F.lit(DEPLOYMENT).alias("fold_id")).limit(0)
     if deployment or not held_out:
         folds = folds.union(placed.select(F.lit(DEPLOYMENT).alias("fold_id")).limit(1))
@@ -118,9 +123,8 @@ def grow_trees(
     nodes = folds.select("fold_id", F.explode(sets).alias("_s")).select("fold_id", "_s.*", F.lit("").alias("path"), F.lit("").alias("region"))
     levels = []
     for depth in range(max_depth + 1):
-        square = (F.col("y") * F.col("y")).cast("decimal(38,0)")
-        own = placed.groupBy("region", "family").agg(*_sums(F.sum(square).cast("decimal(38,0)").alias("q")))
-        whole = own.groupBy("region").agg(*[F.sum(c).cast("bigint" if c == "n" else "decimal(38,0)").alias(c) for c in "nsq"])
+        own = placed.groupBy("region", "family").agg(*_sums(*"nsq"))
+        whole = own.groupBy("region").agg(*_sums(*"nsq"))
         left_out = own.select("region", F.col("family").alias("fold_id"), *[F.col(c).alias(f"{c}0") for c in "nsq"])
         known = nodes.join(whole, "region").join(left_out, ["region", "fold_id"], "left").select(
             *nodes.columns, *[(F.col(c) - F.coalesce(f"{c}0", F.lit(0))).cast("bigint" if c == "n" else "decimal(38,0)").alias(c) for c in "nsq"]).where("n > 0")
@@ -145,7 +149,7 @@ def grow_trees(
             "fold_id", "feature_set", "features", F.concat("path", "side").alias("path"), F.concat("rule", "side").alias("region"))
         splits = parents.select("region", "feature", "threshold", rule.alias("rule")).distinct()
         goes = F.when(F.col("x")[F.col("feature")] <= F.col("threshold"), "L").otherwise("R")
-        placed = materialized(placed.join(splits, "region").select("family", "x", "y", F.concat("rule", goes).alias("region")))
+        placed = materialized(placed.join(splits, "region").select("family", "x", *"nsq", F.concat("rule", goes).alias("region")))
     table = levels[0]
     for level in levels[1:]:
         table = table.unionByName(level)
