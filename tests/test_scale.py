@@ -205,3 +205,36 @@ def test_lean_rows_are_the_full_ones(spark):
     lean = modelled(spark, FOLDER, provenance=False)
     full = modelled(spark, FOLDER).select(*lean.columns)
     assert lean.count() and not lean.exceptAll(full).count() and not full.exceptAll(lean).count()
+
+
+def test_a_file_above_the_part_is_hashed_part_by_part(spark, tmp_path, monkeypatch):
+    import gzip
+    import hashlib
+    import random
+    from trialflow.sources import artifacts
+    draw = random.Random(8)
+    noise = draw.randbytes(300_000)
+    contents = {
+        "noise": noise, "ended": noise + b"\n", "returns": b"\r\n\n\r" * 50_000, "marked": b"\xef\xbb\xbf" + noise, "marked and ended": b"\xef\xbb\xbf" + noise + b"\n",
+        "one line": b"\0" * 200_000, "part[1]={a,b}*": noise[::-1], "late line": b"\0" * 150_000 + b"\n" + noise[:90_000], "small": b"abc\n",
+        "exact": noise[:1 << 16], "packed.gz": gzip.compress(noise[:90_000]),
+    }
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(artifacts, "PART", 1 << 16)
+    expected = {(name, len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items()}
+
+    def found():
+        return [(r["path"].rsplit("/", 1)[-1], r["size_bytes"], r["sha256"]) for r in artifacts.inventory(spark, str(tmp_path)).collect()]
+
+    got = found()
+    assert set(got) == expected and len(got) == len(expected)
+    assert artifacts._lines(spark, str(tmp_path / "noise")).rdd.getNumPartitions() == 5
+    (tmp_path / "packed.gz").unlink()
+    # as large as no file may be that is read whole
+    monkeypatch.setattr(artifacts, "PART", 1 << 15)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(1 << 15))
+    try:
+        assert set(found()) == {e for e in expected if e[0] != "packed.gz"}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
