@@ -238,3 +238,28 @@ def test_a_file_above_the_part_is_hashed_part_by_part(spark, tmp_path, monkeypat
         assert set(found()) == {e for e in expected if e[0] != "packed.gz"}
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+@needs_tables
+def test_every_run_becomes_a_file_batch_after_batch(spark, tmp_path, monkeypatch):
+    from queries import base, files
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").where("l_orderkey % 61 IN (1, 3, 8) AND l_linenumber = 2")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(files, "FILES_AT_ONCE", 40)
+    folders = []
+    monkeypatch.setattr(files, "scratch", lambda spark, name: folders.append(str(tmp_path / f"{name}-{len(folders)}")) or folders[-1])
+    sound = {(r["trial_id"], r["backend"]) for r in base.runs(spark, str(tmp_path)).where("samples NOT BETWEEN 3 AND 8").collect()}
+    got = [(r["path"], r["backend"]) for r in QUERIES["s03_file_per_record_scan"](spark, str(tmp_path)).collect()]
+    assert set(got) == sound and len(got) == len(sound) < lines.count()
+    written = [Path(f) for f in folders if "/files-" in f]
+    assert len(written) == -(-lines.count() // 40) > 1 and not any(list(f.iterdir()) for f in written)
+
+
+def test_equal_paths_null_and_odd_ones_keep_their_files(spark, tmp_path):
+    rows = [("a", "x.json", "1"), ("a", "x.json", "2"), ("1992-01-02", "007", "3"), (None, "n", "4"), ("a=b:*?", "{[^]}", None), ("ü\\%41", "'\"#", "5")]
+    folder = str(tmp_path / "docs")
+    records.write_documents(spark.createDataFrame(rows, "path string, name string, text string"), folder)
+    got = [tuple(r) for r in records.read_documents(spark, folder, base=folder).collect()]
+    assert sorted(got, key=str) == sorted(((p, n, f"{t or ''}\n") for p, n, t in rows), key=str)
+    records.remove_documents(spark, folder)
+    assert not list((tmp_path / "docs").iterdir())
