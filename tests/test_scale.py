@@ -263,3 +263,20 @@ def test_equal_paths_null_and_odd_ones_keep_their_files(spark, tmp_path):
     assert sorted(got, key=str) == sorted(((p, n, f"{t or ''}\n") for p, n, t in rows), key=str)
     records.remove_documents(spark, folder)
     assert not list((tmp_path / "docs").iterdir())
+
+
+@needs_tables
+def test_landed_documents_give_way_to_the_next(spark, tmp_path, monkeypatch):
+    from queries import base, files
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").where("l_orderkey % 61 IN (1, 3, 8)")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(files, "LANDED_AT_ONCE", 100)
+    monkeypatch.setattr(files, "scratch", lambda spark, name: str(tmp_path / name))
+    landed, parse = [], files.R.parse_documents
+    monkeypatch.setattr(files.R, "parse_documents", lambda docs: landed.append((docs.count(), set(docs.inputFiles()))) or parse(docs))
+    sound = {(r["trial_id"], r["backend"]) for r in base.runs(spark, str(tmp_path)).where("samples NOT BETWEEN 3 AND 8").collect()}
+    got = [(r["path"], r["backend"]) for r in QUERIES["s03_directory_scan"](spark, str(tmp_path)).collect()]
+    assert set(got) == sound and len(got) == len(sound)
+    # every document lands, in files that are gone once they are read
+    assert len(landed) == -(-lines.count() // 100) > 2 and sum(n for n, _ in landed) == lines.count() > 2 * max(n for n, _ in landed)
+    assert all(f.endswith(".json.gz") for _, files_ in landed for f in files_) and not list((tmp_path / "documents").glob("*.gz"))
