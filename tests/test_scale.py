@@ -280,3 +280,13 @@ def test_landed_documents_give_way_to_the_next(spark, tmp_path, monkeypatch):
     # every document lands, in files that are gone once they are read
     assert len(landed) == -(-lines.count() // 100) > 2 and sum(n for n, _ in landed) == lines.count() > 2 * max(n for n, _ in landed)
     assert all(f.endswith(".json.gz") for _, files_ in landed for f in files_) and not list((tmp_path / "documents").glob("*.gz"))
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["s01_record_scan", "s01_record_violations"])
+def test_runs_are_dealt_out_in_small_parts_before_their_documents_are_made(spark, monkeypatch, name):
+    from queries import files
+    monkeypatch.setattr(files, "PART", 1 << 10)
+    frame = QUERIES[name](spark, FOLDER)
+    size = Path(f"{FOLDER}/lineitem.parquet").stat().st_size
+    assert "REPARTITION_BY_NUM" in plan_of(frame) and frame.rdd.getNumPartitions() == -(-size // (1 << 10))
