@@ -255,14 +255,17 @@ def test_every_run_becomes_a_file_batch_after_batch(spark, tmp_path, monkeypatch
     assert len(written) == -(-lines.count() // 40) > 1 and not any(list(f.iterdir()) for f in written)
 
 
-def test_equal_paths_null_and_odd_ones_keep_their_files(spark, tmp_path):
+@pytest.mark.parametrize("mounted", [True, False])
+def test_equal_paths_null_and_odd_ones_keep_their_files(spark, tmp_path, monkeypatch, mounted):
+    if not mounted:
+        monkeypatch.setattr(records, "_local", lambda spark, folder: None)
     rows = [("a", "x.json", "1"), ("a", "x.json", "2"), ("1992-01-02", "007", "3"), (None, "n", "4"), ("a=b:*?", "{[^]}", None), ("ü\\%41", "'\"#", "5")]
     folder = str(tmp_path / "docs")
     records.write_documents(spark.createDataFrame(rows, "path string, name string, text string"), folder)
     got = [tuple(r) for r in records.read_documents(spark, folder, base=folder).collect()]
     assert sorted(got, key=str) == sorted(((p, n, f"{t or ''}\n") for p, n, t in rows), key=str)
     records.remove_documents(spark, folder)
-    assert not list((tmp_path / "docs").iterdir())
+    assert not list((tmp_path / "docs").glob("group=*"))
 
 
 @needs_tables
